@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolens.llm import components
@@ -339,3 +339,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where = placed.join(first, "label").select("sig", "component_id")
     known = own.where("n > 0").join(where, "sig").select("id", "n", "component_id")
     return known.unionAll(own.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with one row of each component: that with the smallest id.
+
+    Rows equal in id and text count as one.  Rows with a null id stay, for
+    nothing tells which of them a component's row is.
+    """
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
+    keepers = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keeper")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    met = docs.join(keepers, docs[id_col].cast("long") == keepers["__keeper"])
+    copy = F.row_number().over(Window.partitionBy("__keeper", F.xxhash64(F.col(text_col))).orderBy(F.lit(1)))
+    return met.withColumn("__copy", copy).where("__copy = 1").select(*names).unionAll(docs.where(F.col(id_col).isNull()))
