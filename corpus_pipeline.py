@@ -7,10 +7,45 @@ and a lost executor never costs more than the stage it was in.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronolens.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from chronolens.llm.scratch import Scratch
 
-STAGES: list = []
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """Character counts after a change of texts; documents without a word go."""
+    docs = docs.where(packing.word_count(F.col("text")) > 0)
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(line_dedup.dedup_lines(docs).drop("__n_lines", "__n_removed"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
 
 #: Stages of it (the shingle join, the packing's dynamic programme) have no SQL form; tests hold the rows against a brute-force version.
 ORACLE_SQL: str | None = None
