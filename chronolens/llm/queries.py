@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolens.llm import chat, decontaminate, licenses, line_dedup, lm_score, ngram_join, packing, quality, url_filter
+from chronolens.llm import chat, decontaminate, html_extract, licenses, line_dedup, lm_score, ngram_join, packing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_license_scans": op5_license_scans,
+    "op6_html_extraction": op6_html_extraction,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
