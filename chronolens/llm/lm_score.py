@@ -37,7 +37,8 @@ from chronolens.llm.planes import pack, unpack
 from chronolens.llm.scratch import Scratch
 from chronolens.llm.text import U, hashed_words, mix, texts_of
 
-CHUNK = 1_200_000
+CHUNK = 3_000_000
+KEY_BITS = 56, 48  # of the hashes of single words and of pairs
 FOLDS, TEST_FOLD, TUNING_FOLD = 5, 1, 2  # of crc32(id as text)
 BUCKETS = 64
 BINS, PER_OCTAVE = 512, 8
@@ -87,12 +88,14 @@ class Chunk:
         """Of each token."""
         return np.repeat(np.array([fold(x) for x in self.ids], dtype=np.int64), self.lengths)
 
-    def bigrams(self) -> np.ndarray:
-        """Hash of each token with its predecessor, or the start."""
+    def keys(self, kind: int) -> np.ndarray:
+        """Of each token: its word's hash (kind 0), or that of the pair with its predecessor or the start (1)."""
         h = self.words[self.tokens]
+        if kind == 0:
+            return h >> U(64 - KEY_BITS[0])
         before = np.concatenate(([START], h[:-1]))
         before[np.concatenate(([0], np.cumsum(self.lengths)[:-1]))] = START
-        return mix(before * U(0x9E3779B97F4A7C15) + h)
+        return mix(before * U(0x9E3779B97F4A7C15) + h) >> U(64 - KEY_BITS[1])
 
 
 def counts_of(inverse: np.ndarray, folds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +103,15 @@ def counts_of(inverse: np.ndarray, folds: np.ndarray, n: int) -> tuple[np.ndarra
     return np.bincount(inverse[(folds != TEST_FOLD) & (folds != TUNING_FOLD)], minlength=n), np.bincount(inverse[folds == TUNING_FOLD], minlength=n)
 
 
+def rising(x: np.ndarray) -> bytes:
+    """Sorted keys as packed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(pack(np.diff(x, prepend=U(0)), 0, 7))
+
+
+def risen(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(zstandard.ZstdDecompressor().decompress(blob), 0, 7), dtype=U)
+
+
 def small(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pack(x.astype(U), 0, 6))
 
@@ -135,12 +147,12 @@ def _ask(parts: int):
             made += 1
             yield _rows([(name % parts, name, None, None, None, chunk.dump())])
             folds = chunk.folds()
-            for kind, h in ((0, chunk.words[chunk.tokens]), (1, chunk.bigrams())):
-                keys, inverse = np.unique(h, return_inverse=True)
+            for kind in (0, 1):
+                keys, inverse = np.unique(chunk.keys(kind), return_inverse=True)
                 main, tuning = counts_of(inverse, folds, len(keys))
-                cuts = np.searchsorted(keys >> U(32), (np.arange(parts + 1) << 32) // parts)
+                cuts = np.searchsorted(keys >> U(KEY_BITS[kind] - 32), (np.arange(parts + 1) << 32) // parts)
                 cuts[-1] = len(keys)
-                rows = [(kind * parts + i, name, pack(keys[a:b], 1, 8), small(main[a:b]), small(tuning[a:b]), None) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                rows = [(kind * parts + i, name, rising(keys[a:b]), small(main[a:b]), small(tuning[a:b]), None) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
                 for a in range(0, len(rows), 128):
                     yield _rows(rows[a : a + 128])
 
@@ -169,7 +181,7 @@ def _answer(table: pa.Table) -> pa.Table:
         if body is not None:
             rows.append((chunk, -1, None, None, body, 0, 0, 0, 0))
         else:
-            asked.append((chunk, p, unpack(keys, 1, 8), large(main), large(tuning)))
+            asked.append((chunk, p, risen(keys), large(main), large(tuning)))
     if asked:
         keys, inverse = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
         totals = []
@@ -211,8 +223,8 @@ class Looked:
         first = np.zeros(len(chunk.tokens), dtype=bool)
         first[np.concatenate(([0], np.cumsum(chunk.lengths)[:-1]))] = True
         by_kind = []
-        for kind, h in ((0, chunk.words[chunk.tokens]), (1, chunk.bigrams())):
-            _, inverse = np.unique(h, return_inverse=True)
+        for kind in (0, 1):
+            _, inverse = np.unique(chunk.keys(kind), return_inverse=True)
             own = [x for x in answers if (x[0] >= parts) == bool(kind)]
             by_kind.append([np.concatenate([x[i] for x in own])[inverse] for i in (1, 2)])
         (self.w_main, self.w_tuning), (self.uw_main, self.uw_tuning) = by_kind
