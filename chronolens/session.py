@@ -25,3 +25,31 @@ def local_session(app: str = "chronolens", cores: int | None = None, partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="chronolens-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a session, for clusters where it isn't installed."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_chronolens_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="chronolens-ship-")
+    context.addPyFile(shutil.make_archive(f"{folder}/chronolens", "zip", here.parent, here.name))
+    context._chronolens_shipped = True
