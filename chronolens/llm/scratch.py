@@ -53,4 +53,5 @@ class Scratch:
         import gc
 
         gc.collect()
+        self.spark.range(1).collect()  # the session still holds the plan that ran last
         self.spark._jvm.System.gc()
