@@ -246,7 +246,7 @@ def _ratios(parts: int, n: int, v: int):
         key = bucket_of(u) * BINS + slot
         count, total = np.bincount(key, minlength=BUCKETS * BINS), np.bincount(key, weights=ratio, minlength=BUCKETS * BINS)
         full = np.flatnonzero(count)
-        return pa.table([pa.array(full // BINS), pa.array(full % BINS), pa.array(count[full]), pa.array(total[full])], names=["bucket", "slot", "n", "ratio"])
+        return pa.table([pa.array(full // BINS), pa.array(full % BINS), pa.array(count[full]), pa.array(total[full].astype(float))], names=["bucket", "slot", "n", "ratio"])
 
     return run
 
@@ -277,7 +277,7 @@ def _score(parts: int, n: int, v: int, mixture: np.ndarray):
         at = np.concatenate(([0], np.cumsum(x.chunk.lengths)[:-1]))
         sums = [np.add.reduceat(a, at) for a in ((w > 0).astype(np.int64), np.log10(one), np.log10(both))]
         held = [fold(i) == TEST_FOLD for i in x.chunk.ids]
-        columns = [pa.array(x.chunk.ids, pa.int64()), pa.array(held), pa.array(x.chunk.lengths), pa.array(sums[0]), pa.array(np.full(len(held), n)), pa.array(sums[1]), pa.array(sums[2])]
+        columns = [pa.array(x.chunk.ids, pa.int64()), pa.array(held), pa.array(x.chunk.lengths), pa.array(sums[0]), pa.array(np.full(len(held), n)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float))]
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
