@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolens.llm import chat, decontaminate, html_extract, licenses, line_dedup, lm_score, ngram_join, packing, quality, url_filter
+from chronolens.llm import chat, decontaminate, html_extract, licenses, line_dedup, lm_score, ngram_join, oracle, packing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,5 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_line_dedup": oracle.OP1,
+    "op3_ngram_jaccard_join": oracle.OP3,
+    "op9_benchmark_decontamination": oracle.OP9,
     "op10_url_filters": OP10_SQL,
 }
