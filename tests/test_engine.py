@@ -203,3 +203,12 @@ def test_streaming(spark, tmp_path, small):
     stream = ingest.read_landing(spark, str(tmp_path / "in"), events.schema)
     ingest.drain(ingest.tumbling(stream, "ts", "1 day", ["event_type"], "value"), str(tmp_path / "out"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] > 0.9 * events.count()
+
+
+def test_report(spark, tmp_path):
+    from chronolens import report
+
+    table = spark.createDataFrame([("a<b", 1.5), (None, None)], "name string, value double")
+    text = report.write({"One": table, "Two": table.limit(1)}, tmp_path / "r.html").read_text()
+    assert "a&lt;b" in text and text.count("<section") == 2 and "1.5" in text
+    assert report.comparison_text(table).splitlines()[0].split() == ["name", "value"]
