@@ -23,8 +23,12 @@ short, since both have emitted there.
 Skew.  Equal sets are collapsed in the tasks.  A key that many documents of a
 task hold leaves the task once, with its local centre; keys meet in small
 packed blobs; each key yields a star of candidate links, never all its pairs.
-Components of the verified links follow, and only keys whose members are still
-in different components are looked at pair by pair.
+Components of the verified links follow.  Keys whose members are still in
+different components are looked at again, in pairs of bounded blocks: bit
+sketches (parities again) refuse what their Hamming distance can, and a forest
+of what they allow remains.  Whole sets then decide within the clusters of
+links and allowed links, again in pairs of bounded blocks; only links that
+join components leave a block.
 """
 
 from __future__ import annotations
@@ -49,6 +53,7 @@ HOT_TOTAL = 48  # and left out at level 0 when reported so often in all
 HOT_LIST = 200_000  # at most so many are left out; results don't depend on it
 REF_BITS = U((1 << 48) - 1)
 LEVELS = 3
+BLOCK_SETS, BLOCK_ITEMS = 2_048, 2_000_000  # sets, and shingles in them, of a block of a candidate cluster
 SPREAD = 1.25  # blocks for each shingle in which two sets can differ
 
 
@@ -77,6 +82,25 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U) + U(len(s))], dtype=U))[0])
 
 
+def sketch_bits(n: int) -> int:
+    """Four to eight bits for each shingle, a power of two."""
+    return 1 << min(16, max(6, (4 * n - 1).bit_length()))
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles at each bit; a longer sketch folds to a shorter one by XOR of its halves."""
+    bits = sketch_bits(len(s))
+    slot = (mix(s ^ U(0x5EED)) & U(bits - 1)).astype(np.int64)
+    odd = np.bincount(slot, minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def signed(x) -> np.ndarray:
     return np.asarray(x, dtype=U).view(np.int64)
 
@@ -133,6 +157,9 @@ class Sketcher:
         return keys[: most + 1], (k - len(starts)) >= k - most
 
 
+NOTED = ["kind", "id", "n", "sig", "sketch"]
+
+
 def _fingerprint(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[np.ndarray] = []
@@ -143,22 +170,24 @@ def _fingerprint(id_col: str, text_col: str):
             if pool:
                 h, c = np.unique(np.concatenate(pool), return_counts=True)
                 h, c = h[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), dtype=np.int8)), pa.nulls(len(h), pa.int64()), pa.array(c.astype(np.int64)), pa.array(signed(h))], names=["kind", "id", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), dtype=np.int8)), pa.nulls(len(h), pa.int64()), pa.array(c.astype(np.int64)), pa.array(signed(h)), pa.nulls(len(h), pa.binary())], names=NOTED)
 
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
             n, sig = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=U)
+            sketches: list[bytes | None] = [None] * len(texts)
             for row, s in shingle_sets(texts):
                 n[row], sig[row] = len(s), signature(s)
                 if int(sig[row]) not in seen:
                     seen.add(int(sig[row]))
+                    sketches[row] = sketch(s).tobytes()  # of equal sets, the first of the task is enough
                     pool.append(s)
                     size += len(s)
                     if size > FLUSH_KEYS:
                         yield from common()
                         pool, size = [], 0
                         seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), dtype=np.int8)), ids.cast(pa.int64()), pa.array(n), pa.array(signed(sig))], names=["kind", "id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), dtype=np.int8)), ids.cast(pa.int64()), pa.array(n), pa.array(signed(sig)), pa.array(sketches, pa.binary())], names=NOTED)
         yield from common()
 
     return run
@@ -264,19 +293,108 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found.view(U) & REF_BITS)), pa.array(found), pa.array(blobs, pa.binary())], names=["ref", "sig", "items"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, same: bool, labels: list[int], accept) -> list[tuple[int, int]]:
+    """Pairs of rows in different components whose sketches allow a link and that accept takes; each joins their components.
+
+    Rows must come by size. same: the two blocks are one; else only pairs across count.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    by_width: dict[int, np.ndarray] = {}
+    lengths = np.array([len(x) for x in sketches])
+    for row in range(len(sizes)):
+        last = int(np.searchsorted(sizes, 4 * sizes[row] // 3, side="right"))
+        near = np.arange(row + 1, last)
+        if not same:
+            near = near[sides[row + 1 : last] != sides[row]]
+        at = find(labels[row])
+        near = near[np.fromiter((find(labels[x]) != at for x in near.tolist()), bool, len(near))]
+        if not len(near):
+            continue
+        width = int(lengths[row])  # rows are by size, so sketches ahead are as long or longer
+        if width not in by_width:
+            by_width[width] = np.stack([folded(x, width) if len(x) >= width else np.zeros(width, dtype=U) for x in sketches])
+        for a in range(0, len(near), 4096):
+            part = near[a : a + 4096]
+            apart = np.bitwise_count(by_width[width][part] ^ by_width[width][row]).sum(axis=1, dtype=np.int64)
+            for x in part[7 * apart <= sizes[row] + sizes[part]].tolist():
+                if find(labels[x]) != find(labels[row]) and accept(row, x):
+                    out.append((row, x))
+                    root[find(labels[x])] = find(labels[row])
+    return out
+
+
+def _edges(found: list[tuple[int, int]], names: list[int]) -> pa.Table:
+    return pa.table([pa.array([names[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _allowed(table: pa.Table) -> pa.Table:
+    """A forest of the links that sketches allow, among the members of one key in one pair of blocks."""
+    order = np.argsort(table.column("n").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    refs, labels = table.column("ref").to_pylist(), table.column("label").to_pylist()
+    sketches = [np.frombuffer(x, dtype=U) for x in table.column("sketch").to_pylist()]
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    return _edges(_pairs(table.column("n").to_numpy(), sketches, table.column("own").to_numpy(), same, labels, lambda a, b: True), refs)
+
+
+def _among(table: pa.Table) -> pa.Table:
+    """Links that join components, among the members of a cluster in one pair of blocks: sketches first, then whole sets."""
+    wanted = table.column("sig").to_pylist()
+    rows = [(len(s), row, s) for row, s in shingle_sets(texts_of(table.column("text").combine_chunks())) if int(signed([signature(s)])[0]) == wanted[row]]
+    rows.sort(key=lambda x: x[:2])
+    table = table.take(pa.array([x[1] for x in rows], pa.int64()))
+    sets = [x[2] for x in rows]
+    same = not rows or table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    found = _pairs(np.array([x[0] for x in rows], dtype=np.int64), [sketch(s) for s in sets], table.column("own").to_numpy(), same, table.column("label").to_pylist(), lambda a, b: linked(sets[a], sets[b]))
+    return _edges(found, table.column("sig").to_pylist())
+
+
+def dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, ref, n, ...) with i, j, own: each group cut into blocks of bounded size, each row once for each pair of blocks that it is in."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    blocks = sizes.select(group, F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_ITEMS)).alias("blocks"))
+    own = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("ref"), "blocks"))
+    zero = F.lit(0).cast("long")
+    one = own.where("blocks = 1").drop("blocks").withColumns({"i": zero, "j": zero})
+    more = own.where("blocks > 1").withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    return one.unionByName(more.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other"))
+
+
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    if 3 * max(len(p), len(q)) > 4 * min(len(p), len(q)):
+        return False
+    both = np.concatenate((p, q))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= 75 * (len(both) - common)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches allow a link."""
     for batch in batches:
-        a, b, x, y = (batch.column(i) for i in range(4))
+        n, m = (batch.column(i).to_pylist() for i in (2, 3))
         keep = []
-        for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            p, q = np.frombuffer(p.as_buffer(), dtype=U), np.frombuffer(q.as_buffer(), dtype=U)
-            if 3 * max(len(p), len(q)) > 4 * min(len(p), len(q)):
-                continue
-            both = np.concatenate((p, q))
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            if 100 * common >= 75 * (len(both) - common):
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
+            width = min(len(x), len(y))
+            if 3 * max(n[i], m[i]) <= 4 * min(n[i], m[i]) and 7 * int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)) <= n[i] + m[i]:
                 keep.append(i)
+        if keep:
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, x, y = (batch.column(i) for i in range(4))
+        keep = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if linked(np.frombuffer(p.as_buffer(), dtype=U), np.frombuffer(q.as_buffer(), dtype=U))]
         if keep:
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep))], names=["a", "b"])
 
@@ -295,50 +413,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    noted = scratch.write(source.mapInArrow(_fingerprint("id", "text"), "kind tinyint, id long, n long, sig long"))
-    own = noted.where("kind = 0").select("id", "n", "sig")
+    noted = scratch.write(source.mapInArrow(_fingerprint("id", "text"), "kind tinyint, id long, n long, sig long, sketch binary"))
+    counted = noted.where("kind = 0").select("id", "n", "sig")
     common = noted.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "sig").limit(HOT_LIST).toPandas()
     hot = spark.sparkContext.broadcast(np.sort(common["sig"].to_numpy(dtype=np.int64).view(U)))
-    classes = own.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
+    classes = counted.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"))
 
     blobs = source.select("text").mapInArrow(_emit(hot, parts), BLOBS)
     members = scratch.write(blobs.groupBy("p").applyInArrow(_meet, "k long, ref long, centre long"))
+    del blobs
     scratch.free_shuffles()
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of refs that link, as signatures."""
-        refs = pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct()
+    def fetch(refs: DataFrame) -> DataFrame:
+        """The sets of these classes, made again from a text of each."""
         wanted = classes.withColumn("ref", F.col("sig").bitwiseAND(F.lit((1 << 48) - 1))).join(refs, "ref", "left_semi").select("id", "sig")
         texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("sig", "text")
         sets = scratch.write(texts.mapInArrow(_sets, "ref long, sig long, items binary"))
+        scratch.free_shuffles()
+        return sets
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of refs that link, as signatures: sketches first, then whole sets."""
+        left, right = (drawn.select(F.col("ref").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        pairs = scratch.write(pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long"))
+        sets = fetch(pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct())
         left, right = (sets.select(F.col("ref").alias(f"ref_{x}"), F.col("sig").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
         both = pairs.select(F.col("a").alias("ref_a"), F.col("b").alias("ref_b")).join(right, "ref_b").join(left, "ref_a").select("a", "b", "items_a", "items_b")
         links = scratch.write(both.mapInArrow(_verify, "a long, b long").distinct())
-        scratch.drop(sets)
+        scratch.drop(sets, pairs)
         return links
 
+    ref_of = F.col("sig").bitwiseAND(F.lit((1 << 48) - 1)).alias("ref")
+    drawn = noted.where("sketch IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).select(ref_of, "n", "sketch")
     star = members.where("ref <> centre").select(F.least("ref", "centre").alias("a"), F.greatest("ref", "centre").alias("b")).distinct()
     star = scratch.write(star)
     links = check(star)
+    scratch.free_shuffles()
     labels = components.connected(scratch, links)
 
-    # Keys whose members are in several components: the rest of their pairs.
+    # Keys whose members are in several components, one of those with the same members: which links do sketches allow?
     by_ref = labels.select(F.col("node").bitwiseAND(F.lit((1 << 48) - 1)).alias("ref"), "label")
     placed = members.select("k", "ref").distinct().join(by_ref, "ref", "left").select("k", "ref", F.coalesce("label", "ref").alias("label"))
-    split = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
+    split = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("ref")).alias("x"), F.bit_xor(F.hash("ref")).alias("y")).where("low <> high")
+    split = split.groupBy("x", "y").agg(F.min("k").alias("k")).select("k")
     open_ = scratch.write(placed.join(split, "k", "left_semi"))
-    one, two = (open_.select("k", F.col("ref").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    rest = one.join(two, "k").where("a < b and label_a <> label_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = scratch.write(rest)
-    if not rest.isEmpty():
-        labels = components.connected(scratch, links.union(check(rest)))
-    scratch.drop(members, open_, star, rest)
+    asked = dealt(open_.join(drawn.select("ref", "n"), "ref"), "k").join(drawn.select("ref", "sketch"), "ref")
+    allowed = scratch.write(asked.groupBy("k", "i", "j").applyInArrow(_allowed, "a long, b long").distinct())
+    scratch.drop(members, open_)
+    scratch.free_shuffles()
+
+    # Clusters of links and allowed links that span components: whole sets decide, in pairs of bounded blocks.
+    if not allowed.isEmpty():
+        low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 48) - 1)).alias(c)
+        clusters = components.connected(scratch, links.select(low("a"), low("b")).unionAll(allowed)).withColumnsRenamed({"node": "ref", "label": "cluster"})
+        own = classes.withColumn("ref", ref_of).join(clusters, "ref").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        spread = own.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster")
+        asked = dealt(scratch.write(own.join(spread, "cluster", "left_semi")).withColumnRenamed("id", "own_id"), "cluster")
+        texts = source.join(asked, source["id"].eqNullSafe(F.col("own_id"))).select("cluster", "i", "j", "own", "label", "sig", "text")
+        links = scratch.write(links.unionAll(texts.groupBy("cluster", "i", "j").applyInArrow(_among, "a long, b long")))
+        del texts, asked
+        scratch.free_shuffles()
+        labels = components.connected(scratch, links)
+    scratch.drop(star, allowed)
 
     placed = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "id", F.coalesce("label", "sig").alias("label"))
     first = placed.groupBy("label").agg(F.min("id").alias("component_id"))
     where = placed.join(first, "label").select("sig", "component_id")
-    known = own.where("n > 0").join(where, "sig").select("id", "n", "component_id")
-    return known.unionAll(own.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    known = counted.where("n > 0").join(where, "sig").select("id", "n", "component_id")
+    return known.unionAll(counted.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
