@@ -4,7 +4,8 @@ A document's set holds its distinct five-word shingles, as 64-bit hashes.  The
 shingles are dealt into ``k`` blocks; XOR-ing the hashes of a block gives its
 parity word, so two sketches differ in at most as many blocks as the sets have
 differing shingles.  Sets with Jaccard similarity of at least 3/4 and sizes
-n, m differ in at most ``max(n/3)`` shingles, so with enough blocks some
+n, m differ in at most ``D = (n + m)/7`` shingles (a third of the smaller,
+two sevenths of the larger), so with enough blocks some
 non-empty block must agree: the pigeonhole join.  ``k`` is fixed for each pair
 of neighbouring size bands (sizes of linked sets are within 4/3), and each
 document emits only its first ``D + 1`` block keys in the order of their hash
@@ -129,8 +130,8 @@ class Sketcher:
             at[at == len(self.hot)] = 0
             rare = s[self.hot[at] != s]
         out = []
-        # as the smaller of a pair, and as the larger
-        for joint, most in ((band, n // 3), (band - 1, n // 4)):
+        # as the smaller of a pair, or of either size in its own band: (n + 4n/3) / 7; as the larger: (n + n) / 7 at most
+        for joint, most in ((band, n // 3), (band - 1, 2 * n // 7)):
             if joint >= 0:
                 last = self.starts[joint + 1] - 1
                 k = int(math.ceil(SPREAD * (last // 3))) + 1

@@ -114,6 +114,17 @@ def test_block_keys_meet_for_every_linked_pair():
     assert LEVELS >= 2
 
 
+def test_block_keys_meet_at_the_threshold_across_bands():
+    rng = np.random.default_rng(5)
+    sketcher = Sketcher(np.zeros(0, dtype=np.uint64))
+    for n, m, common in ((16, 19, 15), (18, 19, 16), (22, 25, 21), (25, 26, 22), (57, 62, 51)):
+        for trial in range(4_000 if n < 50 else 500):
+            x = rng.integers(0, 2**64, n + m - common, dtype=np.uint64)
+            a, b = np.sort(x[:n]), np.sort(x[n - common :])
+            assert len(b) == m and linked(a, b)
+            assert set(sketcher.keys(a).tolist()) & set(sketcher.keys(b).tolist()), (trial, n, m)
+
+
 def test_shingles_of_short_texts():
     sets = dict(shingle_sets([b"one two", b"ONE two", b"one two three four five", b"", b"  ", b"one one"]))
     assert sorted(sets) == [0, 1, 2, 5] and (sets[0] == sets[1]).all() and sets[0] != sets[5] and all(len(x) == 1 for x in sets.values())
