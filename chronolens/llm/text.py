@@ -107,7 +107,8 @@ def hashed_words(texts: list[bytes], table: np.ndarray = WORD, lower: bool = Tru
     """For groups of rows: first row, last row (exclusive), hashes of all their words, and offsets of each row's words."""
     for a, b in groups(texts):
         if b - a == 1 and len(texts[a]) > 2 * GROUP_BYTES:
-            found = [hashed_words_once([x], table, lower)[0] for x in _cuts(texts[a], table, GROUP_BYTES)]
+            whole = texts[a].lower() if lower else texts[a]  # before it is cut: the table may hold no capitals
+            found = [hashed_words_once([x], table, False)[0] for x in _cuts(whole, table, GROUP_BYTES)]
             h = np.concatenate(found)
             yield a, b, h, np.array([0, len(h)])
         else:

@@ -92,6 +92,25 @@ def test_spans_are_cut():
     assert without_spans(b"Keep this. Cut THESE words! And this.", np.array([0, 0, 1, 1, 1, 0, 0], dtype=bool)) == b"Keep this. ! And this."
 
 
+def test_very_long_mixed_case_texts_are_decontaminated():
+    rng = random.Random(6)
+    words = [rng.choice(["%s", "%s", "X%s", "mIxEd%s"]) % rng.choice(["Alpha", "BETA", "Gamma", "delta"]) for _ in range(900_000)]
+    text = " ".join(words).encode()
+    assert len(text) > 4 << 20
+    cut = [text.rfind(b" ", 0, i << 21) for i in range(1, len(text) >> 21)]  # windows across the places where a text is cut
+    items = [text[at - 30 : at + 40].decode().split()[1:-1] for at in cut]
+    window = min(map(len, items))
+    grams = {tuple(w.lower() for w in x[j : j + window]) for x in items for j in range(len(x) - window + 1)}
+    lower = [w.lower() for w in words]
+    hit = np.zeros(len(words), dtype=bool)
+    for a in range(len(words) - window + 1):
+        if tuple(lower[a : a + window]) in grams:
+            hit[a : a + window] = True
+    [(_, _, got, at, _)] = list(_scan([Value(Phrases([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], window))], [text]))
+    assert at[1] == len(words) and hit.any() and (got == hit).all()
+    assert re.findall(rb"\w+", without_spans(text, got)) == [w.encode() for w, h in zip(words, hit, strict=True) if not h]
+
+
 def test_size_bands_are_neighbours():
     starts = bands(3000)
     of = lambda n: max(i for i, s in enumerate(starts) if s <= n)
