@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines with a word that licenses use, and their
-neighbours in a paragraph.  A block is compressed alone and with each template
-as a raw zstandard dictionary; the saving ranks the templates, and the best
-ones are confirmed by the exact wording: the template's words must be in the
-block, in order, up to a small difference.
+Words that licenses use are triggers.  Around each, the words that a template
+could reach are compressed alone and with the template as a raw zstandard
+dictionary; where enough is saved, the exact wording confirms: the template's
+words must be there, in order, up to a small difference.  Windows are counted
+in words, so neither line breaks nor white space nor a text's length matter.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,69 +41,77 @@ TRIGGER_SQL = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|spd
 RANKED = 4  # templates that go on from the ranking to the exact comparison
 MIN_SAVING = 0.25  # of the block's own compressed size, or of the template's, whichever is smaller
 MAX_DIFFERENCE = 0.1  # words of the template that may be missing or in other order
-PIECE = 20_000  # bytes of a block compared at once; longer blocks go in overlapping pieces
-_WORD = re.compile(r"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
+REACH = 2  # a template's words are looked for in a stretch of so many times their number
+_WORD = re.compile(rb"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        self.templates = {name: (text, words_of(text)) for name, text in templates.items()}
+        self.templates = {name: words_of(text.encode()) for name, text in templates.items()}
+        self.reach = REACH * max(map(len, self.templates.values()), default=0)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given, self.alone = {}, {}
-        for name, text in templates.items():
-            data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for name, words in self.templates.items():
+            text = b" ".join(words)
+            data = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_dict_id=False)
-            self.alone[name] = len(self.plain.compress(text.encode()))
-
-    def blocks(self, text: bytes) -> Iterator[bytes]:
-        """Runs of lines without an empty line between them, around lines with a trigger: a line and its neighbours."""
-        lines = text.split(b"\n")
-        near = [False] * len(lines)
-        for i, line in enumerate(lines):
-            if TRIGGER.search(line):
-                for j in range(max(0, i - 1), min(len(lines), i + 2)):
-                    near[j] = bool(lines[j].strip())
-        at = 0
-        while at < len(lines):
-            end = at
-            while end < len(lines) and near[end]:
-                end += 1
-            if end > at:
-                block = b"\n".join(lines[at:end])
-                for a in range(0, max(1, len(block) - PIECE // 4), PIECE * 3 // 4):
-                    yield block[a : a + PIECE]
-            at = end + 1
-
-    def rank(self, block: bytes) -> list[tuple[float, str]]:
-        """Templates by the share of the compressed size that they save."""
-        own = len(self.plain.compress(block))
-        found = [((own - len(c.compress(block))) / min(own, self.alone[name]), name) for name, c in self.given.items()]
-        return sorted((x for x in found if x[0] >= MIN_SAVING), key=lambda x: (-x[0], x[1]))[:RANKED]
-
-    def difference(self, name: str, words: list[str]) -> float:
-        """Share of the template's words that the block doesn't have in their order."""
-        want = self.templates[name][1]
+            self.alone[name] = len(self.plain.compress(text))
+
+    def windows(self, text: bytes) -> Iterator[tuple[list[bytes], int]]:
+        """The words around each word with a trigger, as far as the longest template reaches, and that word's place in them."""
+        text = text.lower()
+        starts = np.fromiter((m.start() for m in _WORD.finditer(text)), dtype=np.int64)
+        places = np.fromiter((m.start() for m in TRIGGER.finditer(text)), dtype=np.int64)
+        for i in np.unique(np.searchsorted(starts, places, side="right") - 1).tolist():
+            a, b = max(0, i - self.reach), i + self.reach + 1
+            yield words_of(text[starts[a] : starts[b] if b < len(starts) else len(text)]), i - a
+
+    def rank(self, words: list[bytes], at: int) -> list[tuple[float, str, list[bytes]]]:
+        """Templates by the share of the compressed size that they save, with the words that they reach around a place."""
+        have = set(words)
+        found = []
+        for name, want in self.templates.items():
+            if sum(w in have for w in want) < (1 - MAX_DIFFERENCE) * len(want) - 1e-9:
+                continue  # too many words are nowhere near
+            near = words[max(0, at - REACH * len(want)) : at + REACH * len(want) + 1]
+            block = b" ".join(near)
+            own = len(self.plain.compress(block))
+            saving = (own - len(self.given[name].compress(block))) / min(own, self.alone[name])
+            if saving >= MIN_SAVING:
+                found.append((saving, name, near))
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:RANKED]
+
+    def difference(self, name: str, words: list[bytes]) -> float:
+        """Share of the template's words that the words don't have in their order."""
+        want = self.templates[name]
         match = difflib.SequenceMatcher(None, want, words, autojunk=False)
         # near one another: the matching blocks inside the densest stretch
         blocks = [b for b in match.get_matching_blocks() if b.size]
         best = 0
         for i, first in enumerate(blocks):
-            reach = first.b + 2 * len(want)
+            reach = first.b + REACH * len(want)
             best = max(best, sum(b.size for b in blocks[i:] if b.b + b.size <= reach))
         return 1 - best / len(want)
 
+    def least_difference(self, name: str, words: list[bytes]) -> float:
+        """The difference; where it is too large, the least one of single stretches, lest a like wording beside it hides a license."""
+        gap, n = self.difference(name, words), len(self.templates[name])
+        if gap > MAX_DIFFERENCE:
+            gap = min([gap, *(self.difference(name, words[a : a + REACH * n]) for a in range(0, max(1, len(words) - n + 1), max(1, n // 4)))])
+        return gap
+
     def scan(self, text: bytes) -> list[tuple[str, float, float]]:
         """(license, saving, difference) of the licenses that the text states."""
         found: dict[str, tuple[float, float]] = {}
-        for block in self.blocks(text):
-            words = words_of(block.decode(errors="ignore"))
-            for saving, name in self.rank(block):
-                gap = self.difference(name, words)
-                if gap <= MAX_DIFFERENCE and gap < found.get(name, (0, 2))[1]:
+        for words, at in self.windows(text):
+            for saving, name, near in self.rank(words, at):
+                gap = self.least_difference(name, near)
+                old = found.get(name, (0, 2))
+                if gap <= MAX_DIFFERENCE and (gap, -saving) < (old[1], -old[0]):
                     found[name] = (saving, gap)
         return [(name, *x) for name, x in sorted(found.items())]
 

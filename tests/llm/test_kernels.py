@@ -203,6 +203,16 @@ def test_licenses():
     assert scanner.scan(b"") == []
 
 
+def test_licenses_in_long_lines():
+    rng = random.Random(7)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        for _ in range(10):
+            words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(2, 9))) for _ in range(3_000)]
+            at = rng.randrange(3_000)
+            assert name in {x[0] for x in scanner.scan(" ".join([*words[:at], text, *words[at:]]).encode())}, name
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></ul></nav>
 <div class="ad">Buy!</div><article><h1>%s</h1><p>One &amp; <b>two</b>\n three<br>four<p>Five<ul><li>six<li>seven</ul><div class="share">Tweet</div><p>Follow us</p></article>
 <aside>side</aside><div id="comments"><p>first!</p></div><form><p>mail</p></form><script>var a="<p>no</p>";</script><footer>&copy; us</footer></body></html>"""
