@@ -38,7 +38,6 @@ TEMPLATES = {
 }
 TRIGGER = re.compile(rb"(?i)licen[cs]|copyright|permission|redistribut|public domain|spdx|warrant|free software")
 TRIGGER_SQL = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|spdx|warrant|free software"
-RANKED = 4  # templates that go on from the ranking to the exact comparison
 MIN_SAVING = 0.25  # of the block's own compressed size, or of the template's, whichever is smaller
 MAX_DIFFERENCE = 0.1  # words of the template that may be missing or in other order
 REACH = 2  # a template's words are looked for in a stretch of so many times their number
@@ -83,7 +82,7 @@ class Scanner:
             saving = (own - len(self.given[name].compress(block))) / min(own, self.alone[name])
             if saving >= MIN_SAVING:
                 found.append((saving, name, near))
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:RANKED]
+        return sorted(found, key=lambda x: (-x[0], x[1]))
 
     def difference(self, name: str, words: list[bytes]) -> float:
         """Share of the template's words that the words don't have in their order."""

@@ -213,6 +213,14 @@ def test_licenses_in_long_lines():
             assert name in {x[0] for x in scanner.scan(" ".join([*words[:at], text, *words[at:]]).encode())}, name
 
 
+def test_licenses_in_a_list():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = list(licenses.TEMPLATES)
+    for chosen in (names, names[::-1], ["MIT-short", "Apache-2.0-short", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "GPL-3.0-short", "Unlicense", "CC0-1.0"]):
+        got = {x[0] for x in scanner.scan("\n".join(licenses.TEMPLATES[x] for x in chosen).encode())}
+        assert got >= set(chosen), set(chosen) - got
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></ul></nav>
 <div class="ad">Buy!</div><article><h1>%s</h1><p>One &amp; <b>two</b>\n three<br>four<p>Five<ul><li>six<li>seven</ul><div class="share">Tweet</div><p>Follow us</p></article>
 <aside>side</aside><div id="comments"><p>first!</p></div><form><p>mail</p></form><script>var a="<p>no</p>";</script><footer>&copy; us</footer></body></html>"""
