@@ -3,7 +3,8 @@
 Words that licenses use are triggers.  Around each, the words that a template
 could reach are compressed alone and with the template as a raw zstandard
 dictionary; where enough is saved, the exact wording confirms: the template's
-words must be there, in order, up to a small difference.  Windows are counted
+words must be there, in order, up to a small difference that leaves alone the
+words that tell versions apart.  Windows are counted
 in words, so neither line breaks nor white space nor a text's length matter.
 """
 
@@ -41,6 +42,7 @@ TRIGGER_SQL = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|spd
 MIN_SAVING = 0.25  # of the block's own compressed size, or of the template's, whichever is smaller
 MAX_DIFFERENCE = 0.1  # words of the template that may be missing or in other order
 REACH = 2  # a template's words are looked for in a stretch of so many times their number
+TELLING = re.compile(rb"[0-9]|^general$")  # words of a template that tell it from its other versions, or from the Lesser and Affero GPL
 _WORD = re.compile(rb"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
 
 
@@ -51,6 +53,7 @@ def words_of(text: bytes) -> list[bytes]:
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.templates = {name: words_of(text.encode()) for name, text in templates.items()}
+        self.telling = {name: [i for i, w in enumerate(words) if TELLING.search(w)] for name, words in self.templates.items()}
         self.reach = REACH * max(map(len, self.templates.values()), default=0)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given, self.alone = {}, {}
@@ -93,9 +96,20 @@ class Scanner:
         best = 0
         for i, first in enumerate(blocks):
             reach = first.b + REACH * len(want)
-            best = max(best, sum(b.size for b in blocks[i:] if b.b + b.size <= reach))
+            kept = [b for b in blocks[i:] if b.b + b.size <= reach]
+            if self.told(name, kept):
+                best = max(best, sum(b.size for b in kept))
         return 1 - best / len(want)
 
+    def told(self, name: str, blocks: list) -> bool:
+        """Whether the words that tell versions apart are matched, no further behind the match before them than in the template."""
+        place = {b.a + j: b.b + j for b in blocks for j in range(b.size)}
+        for i in self.telling[name]:
+            before = next((j for j in range(i - 1, -1, -1) if j in place), None)
+            if i not in place or before is not None and place[i] - place[before] > i - before:
+                return False
+        return True
+
     def least_difference(self, name: str, words: list[bytes]) -> float:
         """The difference; where it is too large, the least one of single stretches, lest a like wording beside it hides a license."""
         gap, n = self.difference(name, words), len(self.templates[name])

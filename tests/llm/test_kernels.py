@@ -221,6 +221,47 @@ def test_licenses_in_a_list():
         assert got >= set(chosen), set(chosen) - got
 
 
+BSD = """Copyright (c) 2020, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+
+#     http://www.apache.org/licenses/LICENSE-2.0
+
+# Unless required by applicable law"""
+
+
+def test_licenses_over_blank_lines():
+    scan = lambda text: {x[0] for x in licenses.Scanner(licenses.TEMPLATES).scan(text.encode())}
+    assert scan(BSD) == {"BSD-3-Clause"}
+    assert scan(APACHE.replace("# ", "").replace("#", "")) == {"Apache-2.0", "Apache-2.0-short"}
+    assert scan(APACHE.replace("\n\n", "\n#\n")) == {"Apache-2.0", "Apache-2.0-short"}
+
+
+def test_license_versions():
+    scan = lambda text: {x[0] for x in licenses.Scanner(licenses.TEMPLATES).scan(text.encode())}
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    assert scan(gpl) == scan(gpl.replace("This program", "This library")) == {"GPL-3.0"}
+    for other in (gpl.replace("version 3", "version 2"), gpl.replace("General", "Lesser General"), gpl.replace("GNU", "GNU Affero")):
+        assert scan(other) == set()
+        assert scan(f"{other}\n{gpl.replace('modify', 'change')}") == {"GPL-3.0"}
+    assert scan("This work is licensed under the GNU General Public License, version 2. See the 3 files.") == set()
+    assert scan("Licensed under the Apache License, Version 1.1. There is a version 2.0.") == set()
+    assert scan("Licensed under CC BY 3.0. They have 4.0 too.") == set()
+    mpl = licenses.TEMPLATES["MPL-2.0"]
+    assert scan(mpl.replace("v. 2.0", "version 2.0")) == {"MPL-2.0"} and scan(mpl.replace("v. 2.0", "v. 1.1")) == set()
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></ul></nav>
 <div class="ad">Buy!</div><article><h1>%s</h1><p>One &amp; <b>two</b>\n three<br>four<p>Five<ul><li>six<li>seven</ul><div class="share">Tweet</div><p>Follow us</p></article>
 <aside>side</aside><div id="comments"><p>first!</p></div><form><p>mail</p></form><script>var a="<p>no</p>";</script><footer>&copy; us</footer></body></html>"""
