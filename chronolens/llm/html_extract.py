@@ -15,6 +15,7 @@ dealt over many tasks when the wrappers meet them.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -78,26 +79,40 @@ class Template:
         return 1 + sum(c.size() for c in self.children)
 
 
-def outline(node: Node, inside: bool = False) -> Template | None:
-    """A page as a template of one page: runs of like siblings are one slot, inline elements belong to their block."""
-    inside = inside or node.tag in ("article", "main")
-    own, children = [], {}
+def parts(node: Node) -> Iterator[str | Node]:
+    """The strings of a node and of its inline elements, and the blocks among them, in order."""
     stack = [node]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            own.append(x)
+            yield x
         elif x is not node and (x.tag in BLOCK or x.tag in RAW):
             if x.tag not in RAW:
-                made = outline(x, inside)
-                if x.label in children:
-                    merge(children[x.label], made, same_page=True)
-                else:
-                    children[x.label] = made
-        elif x.tag not in RAW or x is node:
+                yield x
+        else:
             stack.extend(reversed(x.children))
+
+
+def marked(text: str) -> str:
+    """A text, or of a long one its beginning with length and digest of the whole: equal for equal texts only."""
+    return text if len(text) <= 200 else f"{text[:200]} {len(text)} {hashlib.blake2b(text.encode(errors='surrogatepass'), digest_size=16).hexdigest()}"
+
+
+def outline(node: Node, inside: bool = False) -> Template | None:
+    """A page as a template of one page: runs of like siblings are one slot, inline elements belong to their block."""
+    inside = inside or node.tag in ("article", "main")
+    own, children = [], {}
+    for x in parts(node):
+        if isinstance(x, str):
+            own.append(x)
+        else:
+            made = outline(x, inside)
+            if x.label in children:
+                merge(children[x.label], made, same_page=True)
+            else:
+                children[x.label] = made
     text = squeeze(" ".join(own)) if own else ""
-    return Template(node.label, 1, text[:200], 1 if text else 0, len(text), list(children.values()))
+    return Template(node.label, 1, marked(text), 1 if text else 0, len(text), list(children.values()))
 
 
 def matching(a: list[Template], b: list[Template], depth: int = 3) -> list[tuple[int, int]]:
@@ -197,11 +212,12 @@ def _text_blocks(node: Node, path: str, rules: dict, inside: bool, found: bool,
     met = found
     current: list[str] = []
     fixed = rules["fixed"].get(path)
+    constant_here = fixed is not None and fixed == marked(squeeze(" ".join(x for x in parts(node) if isinstance(x, str))))
 
     def flush() -> None:
         if current:
             text = squeeze("".join(current))
-            if text and met_here and text[:200] != fixed:
+            if text and met_here and not constant_here:
                 out.append(text)
             current.clear()
 

@@ -280,6 +280,17 @@ def test_html():
     assert again == rules
 
 
+def test_html_slots_that_begin_alike():
+    lead, note = "A standing lead of this host. " * 8, "A standing note of this host, word for word. " * 8
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class=lead>{lead}Story {i}.</div><section>{note}<b>end</b></section><p>Body {i}.</p></article></body>"
+    template = html_extract.outline(parse(page(0)))
+    for i in range(1, 20):
+        html_extract.merge(template, html_extract.outline(parse(page(i))))
+    rules = html_extract.wrapper(html_extract.Template.load(json.loads(json.dumps(template.dump()))))
+    for i in range(20):
+        assert html_extract.extract(page(i), rules) == f"Title {i}\n\n{lead}Story {i}.\n\nBody {i}."
+
+
 def test_tree_matching_keeps_order():
     leaf = html_extract.Template
     a, b = [leaf("p"), leaf("ul"), leaf("p")], [leaf("ul"), leaf("p"), leaf("nav")]
