@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from chronolens.llm import queries
@@ -17,5 +18,5 @@ def test_same_rows(spark, small, name):
     own, other = queries.QUERIES[name](spark, small).toPandas(), con.sql(queries.SQL[name]).df()
     columns = sorted(own.columns)
     assert columns == sorted(other.columns)
-    plain = lambda f: sorted(tuple("null" if x is None or x != x else str(x) for x in r) for r in f[columns].itertuples(index=False))
+    plain = lambda f: sorted(tuple("null" if x is None or pd.isna(x) is True else str(x) for x in r) for r in f[columns].itertuples(index=False))
     assert plain(own) == plain(other)
