@@ -5,7 +5,9 @@ validity intervals.  A capture is blocked if, on the day it was fetched, an
 entry for its host or for a domain above it was valid.  Captures are reduced
 to their different (host, day) pairs before anything moves; each pair meets
 the intervals of its domains by an equality join with a range condition on
-time, and the verdicts go back to the captures.
+time, and the verdicts go back to the captures.  That equality join with a range
+condition is the as-of join: intervals of one (domain, list) don't overlap, so
+of each at most one row, the entry active at fetch time, meets a pair.
 """
 
 from __future__ import annotations
@@ -51,15 +53,18 @@ def judge_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url"
 
     Of several valid entries the most specific domain is reported, then the
     first list by name.  A null or malformed URL, or a null fetch time, isn't
-    blocked.  Columns of captures that have one of these names are replaced.
+    blocked.  Columns of captures that have one of these names are replaced; all
+    others travel in one struct, so no name of theirs can clash.  Rows that
+    repeat are judged as often; no rows give no rows; an empty list blocks none.
     """
     added = ["host", "blocked", "matched_domain", "matched_list"]
-    own = captures.drop(*added).withColumn("host", host_of(F.col(url_col))).withColumn("__day", F.col(fetched_col).cast("date"))
-    pairs = own.where(F.col("host").isNotNull() & F.col("__day").isNotNull()).select("host", F.col("__day").alias("day")).distinct()
+    names = [c for c in captures.columns if c not in added]
+    own = captures.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{fetched_col}`").cast("date").alias("day"), F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    pairs = own.where(F.col("host").isNotNull() & F.col("day").isNotNull()).select("host", "day").distinct()
     asked = pairs.select("host", "day", F.explode(domains_of(F.col("host"))).alias("domain"))
     valid = asked.join(intervals(entries), "domain").where((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     best = F.min(F.struct((-F.length("domain")).alias("size"), F.col("list_name"), F.col("domain")))
-    verdicts = valid.groupBy("host", "day").agg(best.alias("best")).select(F.col("host").alias("__host"), "day", F.col("best.domain").alias("matched_domain"), F.col("best.list_name").alias("matched_list"))
-    met = own.join(verdicts, (own["host"] == verdicts["__host"]) & (own["__day"] == verdicts["day"]), "left")
-    kept = [F.col(f"`{c}`") for c in captures.columns if c not in added]
+    verdicts = valid.groupBy("host", "day").agg(best.alias("best")).select("host", "day", F.col("best.domain").alias("matched_domain"), F.col("best.list_name").alias("matched_list"))
+    met = own.join(verdicts, ["host", "day"], "left")
+    kept = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)]
     return met.select(*kept, "host", F.col("matched_domain").isNotNull().alias("blocked"), "matched_domain", "matched_list")
