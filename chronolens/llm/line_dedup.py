@@ -115,6 +115,9 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with their repeated lines removed, and n_lines (lines with a word) and n_removed as ``__n_lines`` and ``__n_removed``.
 
+    Columns of docs that have one of these two names are replaced; no other
+    name clashes with anything here.
+
     Null, empty and short texts (under three full lines) stay as they are.
     Rows equal in id and text are one place: what one keeps, all keep.  Rows
     of one id with other texts come in the order of a hash of the text; a null
@@ -128,12 +131,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = windows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     later = windows.join(first, "h").where(~place.eqNullSafe(F.col("first"))).select("id", "mark", "place")
     spots = later.groupBy(F.col("id").alias("__spot_id"), F.col("mark").alias("__spot_mark")).agg(F.collect_set("place").alias("__places"))
-    schema = docs.schema
-    named = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(F.col(text_col).cast("string").alias("__text"), *named).mapInArrow(_mark, _plus(schema, "__mark long"))
-    met = marked.join(spots, marked[id_col].cast("long").eqNullSafe(spots["__spot_id"]) & (marked["__mark"] == spots["__spot_mark"]), "left").select(*named, "__mark", "__places")
+    docs = docs.drop("__n_lines", "__n_removed")
+    # columns go by number, so that none of theirs has a name of ours
     names = [*docs.columns, "__n_lines", "__n_removed"]
-    return met.mapInArrow(_cut(docs.columns.index(text_col), names), _plus(schema, "__n_lines long, __n_removed long"))
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    named = list(inner.columns)
+    marked = inner.select(F.col(f"c{text_at}").cast("string").alias("text"), *named).mapInArrow(_mark, _plus(inner.schema, "__mark long"))
+    met = marked.join(spots, marked[f"c{id_at}"].cast("long").eqNullSafe(spots["__spot_id"]) & (marked["__mark"] == spots["__spot_mark"]), "left").select(*named, "__mark", "__places")
+    return met.mapInArrow(_cut(text_at, [*named, "__n_lines", "__n_removed"]), _plus(inner.schema, "__n_lines long, __n_removed long")).toDF(*names)
 
 
 def _plus(schema: T.StructType, more: str) -> T.StructType:
