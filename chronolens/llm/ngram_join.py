@@ -158,10 +158,11 @@ class Sketcher:
         return keys[: most + 1], (k - len(starts)) >= k - most
 
 
-NOTED = ["kind", "id", "n", "sig", "sketch"]
+NOTED = ["kind", "id", "mark", "n", "sig", "sketch"]
+SALTS = 16  # a component with many different texts gets its smallest id over so many tasks
 
 
-def _fingerprint(id_col: str, text_col: str):
+def _fingerprint():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[np.ndarray] = []
         seen: set[int] = set()
@@ -171,7 +172,7 @@ def _fingerprint(id_col: str, text_col: str):
             if pool:
                 h, c = np.unique(np.concatenate(pool), return_counts=True)
                 h, c = h[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), dtype=np.int8)), pa.nulls(len(h), pa.int64()), pa.array(c.astype(np.int64)), pa.array(signed(h)), pa.nulls(len(h), pa.binary())], names=NOTED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), dtype=np.int8)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(c.astype(np.int64)), pa.array(signed(h)), pa.nulls(len(h), pa.binary())], names=NOTED)
 
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
@@ -188,7 +189,7 @@ def _fingerprint(id_col: str, text_col: str):
                         yield from common()
                         pool, size = [], 0
                         seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), dtype=np.int8)), ids.cast(pa.int64()), pa.array(n), pa.array(signed(sig)), pa.array(sketches, pa.binary())], names=NOTED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), dtype=np.int8)), ids.cast(pa.int64()), batch.column(2), pa.array(n), pa.array(signed(sig)), pa.array(sketches, pa.binary())], names=NOTED)
         yield from common()
 
     return run
@@ -407,15 +408,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least 0.75; component_id is the smallest id reachable by links.  Null and
     wordless texts have n_shingles 0 and only their own id.  Rows that repeat
     are returned as often.  A null id is returned with the component's smallest
-    id that isn't null, or null.  No rows give no rows.
+    id that isn't null, or null.  No rows give no rows.  Other columns, of any
+    name, are not read.
     """
-    spark = docs.sparkSession
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _located(source).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _located(source: DataFrame) -> DataFrame:
+    """Of each row of source (id, text): id, mark (a hash of the text), n (shingles), label (of its component; null without words), component_id."""
+    spark = source.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    noted = scratch.write(source.mapInArrow(_fingerprint("id", "text"), "kind tinyint, id long, n long, sig long, sketch binary"))
-    counted = noted.where("kind = 0").select("id", "n", "sig")
+    noted = scratch.write(source.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_fingerprint(), "kind tinyint, id long, mark long, n long, sig long, sketch binary"))
+    counted = noted.where("kind = 0").select("id", "mark", "n", "sig")
     common = noted.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "sig").limit(HOT_LIST).toPandas()
     hot = spark.sparkContext.broadcast(np.sort(common["sig"].to_numpy(dtype=np.int64).view(U)))
     classes = counted.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"))
@@ -477,22 +484,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components.connected(scratch, links)
     scratch.drop(star, allowed)
 
-    placed = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "id", F.coalesce("label", "sig").alias("label"))
-    first = placed.groupBy("label").agg(F.min("id").alias("component_id"))
-    where = placed.join(first, "label").select("sig", "component_id")
-    known = counted.where("n > 0").join(where, "sig").select("id", "n", "component_id")
-    return known.unionAll(counted.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    # only texts with a link have a label; of these, each component's smallest id goes to all its texts, salted
+    linked_ = classes.join(labels.withColumnRenamed("node", "sig"), "sig").select("sig", "id", "label", F.pmod("sig", F.lit(SALTS)).alias("salt"))
+    first = linked_.groupBy("label").agg(F.min("id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    where = linked_.join(first, ["label", "salt"]).select("sig", "label", "component_id")
+    alone = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left_anti").select("sig", F.col("sig").alias("label"), F.col("id").alias("component_id"))
+    known = counted.where("n > 0").join(where.unionAll(alone), "sig").select("id", "mark", "n", "label", "component_id")
+    return known.unionAll(counted.where("n = 0").select("id", "mark", "n", F.lit(None).cast("long").alias("label"), F.col("id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with one row of each component: that with the smallest id.
+    """The rows of docs, with one row of each component: of its rows whose id isn't null, the one with the smallest id.
 
-    Rows equal in id and text count as one.  Rows with a null id stay, for
-    nothing tells which of them a component's row is.
+    Where rows of that id have several texts of the component, a hash of the
+    text decides, and among rows equal in id and text a hash of all their
+    columns.  Rows without words make no component: of those equal in id and
+    text, one stays.  Rows with a null id stay, for nothing tells which of them
+    a component's row is.  Columns may have any names.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    keepers = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keeper")).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    met = docs.join(keepers, docs[id_col].cast("long") == keepers["__keeper"])
-    copy = F.row_number().over(Window.partitionBy("__keeper", F.xxhash64(F.col(text_col))).orderBy(F.lit(1)))
-    return met.withColumn("__copy", copy).where("__copy = 1").select(*names).unionAll(docs.where(F.col(id_col).isNull()))
+    names = docs.columns
+    whole = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    ids, text = F.col(f"c{names.index(id_col)}").cast("long"), F.col(f"c{names.index(text_col)}").cast("string")
+    found = _located(whole.select(ids.alias("id"), text.alias("text"))).where("id IS NOT NULL")
+    kept = found.where("n > 0").groupBy("label").agg(F.min(F.struct("id", "mark")).alias("k")).select("k.id", "k.mark").unionAll(found.where("n = 0").select("id", "mark").distinct())
+    met = whole.withColumns({"__id": ids, "__mark": F.xxhash64(text)}).join(kept.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")), ["__id", "__mark"])
+    copy = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in whole.columns])))
+    once = met.withColumn("__copy", copy).where("__copy = 1").select(*whole.columns)
+    return once.unionAll(whole.where(ids.isNull())).toDF(*names)
