@@ -14,8 +14,15 @@ validated against the tool's JSON schema.  Messages are serialised as canonical
 JSON: sorted keys, no white space, no escapes beyond those JSON demands.
 
 Output is one row for each message, so no conversation is gathered anywhere;
-only calls, which are few, are joined, and depths are found by passing them
-along the links, one round for each level.
+only calls are joined.  The links of a conversation are ordered by removing
+calls without open needs: in one task where there are at most ``GROUP_LINKS`` of
+them, else in rounds over the cluster, one for each level, until no call
+becomes ready.  Both end by themselves, however long a chain is, and leave
+exactly the calls that are in a cycle or behind one.
+
+Nothing here recurses over a message: JSON that the parser itself finds too
+deep is plain text, and the rest is walked with explicit stacks.  Lone
+surrogates, which UTF-8 can't hold, are written as escapes.
 """
 
 from __future__ import annotations
@@ -31,7 +38,8 @@ from pyspark.sql import functions as F
 
 from chronolens.llm.scratch import Scratch
 
-MAX_DEPTH = 1_000  # a chain of calls that is longer, like a cycle, has depth null
+GROUP_LINKS = 100_000  # a conversation with more links between calls is ordered in rounds
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _TAGGED = re.compile(r"<tool_(?:call|result)>(.*?)</tool_(?:call|result)>", re.S)
 
 # Schemas of the tools that the stock query knows.
@@ -41,17 +49,50 @@ SCHEMAS = {
 }
 
 
-def canonical(value) -> str:
-    """Sorted keys, no white space; numbers that JSON can't hold are null."""
+def storable(text: str) -> str:
+    """text with its lone surrogates as escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
-    def clean(x):
-        if isinstance(x, float) and not math.isfinite(x):
-            return None
-        if isinstance(x, dict):
-            return {str(k): clean(v) for k, v in x.items()}
-        return [clean(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(clean(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def canonical(value) -> str:
+    """Sorted keys, no white space; numbers that JSON can't hold are null; lone surrogates are escapes. Any depth."""
+    out: list[str] = []
+    stack: list = [value]
+    scalar = json.JSONEncoder(ensure_ascii=False).encode
+    while stack:
+        x = stack.pop()
+        if type(x) is _Written:
+            out.append(x)
+        elif isinstance(x, dict):
+            stack.append(_Written("}"))
+            items = sorted(x.items(), key=lambda kv: kv[0])
+            for i in range(len(items) - 1, -1, -1):
+                stack += (items[i][1], _Written(("," if i else "") + storable(scalar(items[i][0])) + ":"))
+            stack.append(_Written("{"))
+        elif isinstance(x, list):
+            stack.append(_Written("]"))
+            for i in range(len(x) - 1, -1, -1):
+                stack.append(x[i])
+                if i:
+                    stack.append(_Written(","))
+            stack.append(_Written("["))
+        elif isinstance(x, float) and not math.isfinite(x):
+            out.append("null")
+        else:
+            out.append(storable(scalar(x)))
+    return "".join(out)
+
+
+class _Written(str):
+    """A piece of output on the stack."""
+
+
+def parsed(text: str):
+    """The JSON value of text; None if it is none, or nests deeper than the parser goes, or has numbers that it refuses."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -66,13 +107,16 @@ def _is(value, kind: str) -> bool:
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of the schema the value breaks: types, required and additional properties, items, enums, bounds, lengths and patterns."""
+    """What of the schema the value breaks: types, required and additional properties, items, enums, bounds, lengths and patterns.
+
+    Recurses along the schema, so no deeper than it nests, whatever the value.
+    """
     out = []
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -97,15 +141,21 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def _references(value) -> Iterator[str]:
-    if isinstance(value, str):
-        if value[:1] == "$" and len(value) > 1:
-            yield value[1:]
-    elif isinstance(value, dict):
-        for v in value.values():
-            yield from _references(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from _references(v)
+    stack = [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            if x[:1] == "$" and len(x) > 1:
+                yield storable(x[1:])
+        elif isinstance(x, dict):
+            stack.extend(x.values())
+        elif isinstance(x, list):
+            stack.extend(x)
+
+
+def name_of(value) -> str:
+    """An identifier or a tool's name as stored: strings as they are, other values as canonical JSON."""
+    return storable(value) if isinstance(value, str) else canonical(value)
 
 
 def tool_parts(text: str) -> tuple[list[dict], list[dict]]:
@@ -114,10 +164,7 @@ def tool_parts(text: str) -> tuple[list[dict], list[dict]]:
         return [], []
     calls, results = [], []
     for piece in [text, *_TAGGED.findall(text)]:
-        try:
-            found = json.loads(piece)
-        except (ValueError, RecursionError):
-            continue
+        found = parsed(piece)
         for x in found if isinstance(found, list) else [found]:
             if isinstance(x, dict) and isinstance(c := x.get("tool_call"), dict) and c.get("id") is not None:
                 calls.append(c)
@@ -126,31 +173,28 @@ def tool_parts(text: str) -> tuple[list[dict], list[dict]]:
     return calls, results
 
 
-PARTS = "conv_id long, turn long, kind string, place int, call_id string, name string, needs array<string>, valid boolean, errors array<string>"
+PARTS = "conv_id long, turn long, mark long, kind string, place int, call_id string, name string, needs array<string>, valid boolean, errors array<string>"
 
 
 def _parts(schemas: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, turn, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 calls, results = tool_parts(text or "")
                 for i, c in enumerate(calls):
                     arguments = c.get("arguments", {})
-                    if isinstance(arguments, str):
-                        try:
-                            arguments = json.loads(arguments)
-                        except ValueError:
-                            pass
-                    name = str(c.get("name"))
-                    errors = violations(arguments, schemas[name]) if name in schemas else ["$: no such tool"]
+                    if isinstance(arguments, str) and (value := parsed(arguments)) is not None:
+                        arguments = value
+                    name = name_of(c.get("name"))
+                    errors = [storable(x) for x in violations(arguments, schemas[name])] if name in schemas else ["$: no such tool"]
                     after = c.get("after") if isinstance(c.get("after"), list) else []
-                    rows.append((conv, turn, "call", i, str(c["id"]), name, sorted({*map(str, after), *_references(arguments)}), not errors, errors))
-                rows += [(conv, turn, "result", i, str(r["id"]), None, [], None, []) for i, r in enumerate(results)]
+                    rows.append((conv, turn, mark, "call", i, name_of(c["id"]), name, sorted({*map(name_of, after), *_references(arguments)}), not errors, errors))
+                rows += [(conv, turn, mark, "result", i, name_of(r["id"]), None, [], None, []) for i, r in enumerate(results)]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string())]
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "kind", "place", "call_id", "name", "needs", "valid", "errors"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "mark", "kind", "place", "call_id", "name", "needs", "valid", "errors"])
 
     return run
 
@@ -158,7 +202,7 @@ def _parts(schemas: dict):
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, calls, results = [], [], []
-        for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for role, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             c, r = tool_parts(text or "")
             message = {"role": role or "unknown", "content": text or ""}
             if c:
@@ -168,57 +212,107 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(canonical(message))
             calls.append(len(c))
             results.append(len(r))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(calls, pa.int64()), pa.array(results, pa.int64())], names=["conv_id", "turn", "message", "n_calls", "n_results"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.string()), pa.array(calls, pa.int64()), pa.array(results, pa.int64())], names=["conv_id", "turn", "mark", "message", "n_calls", "n_results"])
+
+
+def ordered_calls(calls: list[str], links: list[tuple[str, str]]) -> list[int | None]:
+    """Depth of each call, from links (call, need): 0 without needs, else one more than the deepest need; None in or behind a cycle."""
+    at = {c: i for i, c in enumerate(calls)}
+    behind: list[list[int]] = [[] for _ in calls]
+    open_ = [0] * len(calls)
+    for call, need in links:
+        behind[at[need]].append(at[call])
+        open_[at[call]] += 1
+    depth: list[int | None] = [0 if not n else None for n in open_]
+    ready = [i for i, n in enumerate(open_) if not n]
+    reached = [0] * len(calls)
+    for i in ready:  # grows while it is walked
+        for j in behind[i]:
+            reached[j] = max(reached[j], depth[i] + 1)
+            open_[j] -= 1
+            if not open_[j]:
+                depth[j] = reached[j]
+                ready.append(j)
+    return depth
+
+
+def _order(table: pa.Table) -> pa.Table:
+    """Depths in one conversation, from rows (conv_id, call_id, need)."""
+    pairs = list(zip(table.column("call_id").to_pylist(), table.column("need").to_pylist(), strict=True))
+    names = sorted({x for p in pairs for x in p})
+    return pa.table([pa.array([table.column("conv_id")[0].as_py()] * len(names), pa.int64()), pa.array(names, pa.string()), pa.array(ordered_calls(names, pairs), pa.int32())], names=["conv_id", "call_id", "depth"])
+
+
+def _rounds(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """The same over the cluster, one round for each level; calls in or behind a cycle have no row."""
+    open_ = scratch.write(links)
+    nodes = open_.select("conv_id", "call_id").unionAll(open_.select("conv_id", "need")).distinct()
+    depth = scratch.write(nodes.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)))
+    out, level = depth, 0
+    while not depth.isEmpty():
+        level += 1
+        # links whose need was placed in the last round are done; calls with no open link left are next
+        rest = scratch.write(open_.join(depth.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"))
+        ready = open_.select("conv_id", "call_id").distinct().join(rest, ["conv_id", "call_id"], "left_anti")
+        depth = scratch.write(ready.withColumn("depth", F.lit(level)))
+        scratch.drop(open_)
+        open_ = rest
+        out = out.unionAll(depth)
+        if level % 50 == 0:  # keeps the plan small
+            out = scratch.write(out)
+    return out
 
 
-def linked_calls(conversations: DataFrame, schemas: dict = SCHEMAS, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """One row for each call: conv_id, turn, place, call_id, name, valid, errors, result_turn, depth.
+def linked_calls(conversations: DataFrame, schemas: dict = SCHEMAS, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", group_links: int = GROUP_LINKS) -> DataFrame:
+    """One row for each call: conv_id, turn, mark (a hash of the message's text), place, call_id, name, valid, errors, result_turn, depth.
 
     Calls that share an identifier in a conversation all link to its first
     result (by turn, then place); a call without a result has result_turn
     null.  A call in or behind a cycle has depth null; an unknown identifier
-    in ``after`` counts for nothing.
+    in ``after`` counts for nothing.  A null conversation or identifier links
+    nothing: its calls have depth 0.  Messages that repeat state their calls as
+    often; no rows give no rows.
     """
-    spark = conversations.sparkSession
-    scratch = Scratch(spark, "tool-calls")
-    source = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"))
+    scratch = Scratch(conversations.sparkSession, "tool-calls")
+    text = F.col(f"`{text_col}`").cast("string")
+    source = conversations.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.xxhash64(text).alias("mark"), text.alias("text"))
     parts = scratch.write(source.where(F.col("text").contains("tool_")).mapInArrow(_parts(schemas), PARTS))
     calls, results = parts.where("kind = 'call'").drop("kind"), parts.where("kind = 'result'")
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place")).alias("first")).select("conv_id", "call_id", F.col("first.turn").alias("result_turn"))
-    nodes = calls.select("conv_id", "call_id").distinct()
-    links = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    links = links.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi")
-    open_ = scratch.write(links)
-    depth = scratch.write(nodes.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)))
-    for level in range(1, MAX_DEPTH):
-        if open_.isEmpty():
-            break
-        # links whose need has a depth are done; calls with no open link left get theirs
-        rest = scratch.write(open_.join(depth.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"))
-        ready = open_.select("conv_id", "call_id").distinct().join(rest, ["conv_id", "call_id"], "left_anti")
-        after = scratch.write(depth.unionAll(ready.withColumn("depth", F.lit(level))))
-        if ready.isEmpty():
-            break
-        scratch.drop(open_, depth)
-        open_, depth = rest, after
-    return calls.join(first, ["conv_id", "call_id"], "left").join(depth, ["conv_id", "call_id"], "left").select("conv_id", "turn", "place", "call_id", "name", "valid", "errors", "result_turn", "depth")
-
-
-def format_chats(conversations: DataFrame, schemas: dict = SCHEMAS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    nodes = calls.select("conv_id", F.col("call_id").alias("need")).distinct()
+    links = scratch.write(calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct().join(nodes, ["conv_id", "need"], "left_semi"))
+    sizes = links.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    depth = links.join(sizes.where(F.col("n") <= group_links), "conv_id", "left_semi").select("conv_id", "call_id", "need").groupBy("conv_id").applyInArrow(_order, "conv_id long, call_id string, depth int")
+    large = links.join(sizes.where(F.col("n") > group_links), "conv_id", "left_semi").select("conv_id", "call_id", "need")
+    if not large.isEmpty():
+        # those that no round places keep depth null; a call of no link isn't here, and has depth 0
+        placed = _rounds(scratch, large)
+        stuck = large.select("conv_id", "call_id").distinct().join(placed, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(None).cast("int"))
+        depth = depth.unionAll(placed.unionAll(stuck))
+    ordered = depth.withColumn("linked", F.lit(True))
+    met = calls.join(first, ["conv_id", "call_id"], "left").join(ordered, ["conv_id", "call_id"], "left")
+    return met.select("conv_id", "turn", "mark", "place", "call_id", "name", "valid", "errors", "result_turn", F.when(F.col("linked"), F.col("depth")).otherwise(F.lit(0)).alias("depth"))
+
+
+def format_chats(conversations: DataFrame, schemas: dict = SCHEMAS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", group_links: int = GROUP_LINKS) -> DataFrame:
     """One row for each message: conv_id, turn, message (canonical JSON), n_calls, n_results, n_linked, n_valid, call_order.
 
     n_linked: the message's calls that have a result; n_valid: those whose
     arguments keep their schema; call_order: its call identifiers in the
-    topological order (those in cycles last).  A null role is "unknown", a null
-    text is empty; a null turn or conversation stays null and links nothing.
-    Rows that repeat are formatted as often.
+    topological order, ties by place (those in cycles last).  A null role is
+    "unknown", a null text is empty; a null turn or conversation stays null and
+    links nothing.  Messages of one conversation and turn with other texts keep
+    their own calls; rows that repeat are formatted as often.  Other columns,
+    of any name, are not read; no rows give no rows.
     """
-    named = [F.col(c).cast(t).alias(n) for c, t, n in ((conv_col, "long", "conv_id"), (turn_col, "long", "turn"), (role_col, "string", "role"), (text_col, "string", "text"))]
-    messages = conversations.select(*named).mapInArrow(_messages, "conv_id long, turn long, message string, n_calls long, n_results long")
-    calls = linked_calls(conversations, schemas, conv_col, turn_col, text_col).dropDuplicates(["conv_id", "turn", "place", "call_id"])
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("depth", F.lit(MAX_DEPTH)).alias("depth"), "place", "call_id")))
-    by_message = calls.groupBy("conv_id", "turn").agg(F.count("result_turn").alias("n_linked"), F.count_if("valid").alias("n_valid"), order.alias("o"))
-    by_message = by_message.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "n_linked", "n_valid", F.transform("o", lambda x: x["call_id"]).alias("call_order"))
-    met = messages.join(by_message, (messages["conv_id"] == by_message["c"]) & (messages["turn"] == by_message["t"]), "left")
+    text = F.col(f"`{text_col}`").cast("string")
+    named = [F.col(f"`{c}`").cast(t).alias(n) for c, t, n in ((conv_col, "long", "conv_id"), (turn_col, "long", "turn"))]
+    source = conversations.select(*named, F.xxhash64(text).alias("mark"), F.col(f"`{role_col}`").cast("string").alias("role"), text.alias("text"))
+    messages = source.mapInArrow(_messages, "conv_id long, turn long, mark long, message string, n_calls long, n_results long")
+    calls = linked_calls(conversations, schemas, conv_col, turn_col, text_col, group_links).dropDuplicates(["conv_id", "turn", "mark", "place"])
+    order = F.sort_array(F.collect_list(F.struct(F.col("depth").isNull().alias("stuck"), "depth", "place", "call_id")))
+    by_message = calls.groupBy("conv_id", "turn", "mark").agg(F.count("result_turn").alias("n_linked"), F.count_if("valid").alias("n_valid"), order.alias("o"))
+    by_message = by_message.select("conv_id", "turn", "mark", "n_linked", "n_valid", F.transform("o", lambda x: x["call_id"]).alias("call_order"))
+    met = messages.join(by_message, ["conv_id", "turn", "mark"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return met.select("conv_id", "turn", "message", "n_calls", "n_results", zero("n_linked"), zero("n_valid"), F.coalesce("call_order", F.array().cast("array<string>")).alias("call_order"))
