@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from chronolens.plans import catalog, surface
@@ -24,7 +25,7 @@ def duck(small):
 
 def plain(frame):
     def one(x):
-        if x is None or x != x:
+        if x is None or pd.isna(x) is True:
             return "null"
         if isinstance(x, float):
             return f"{x:.5g}" if math.isfinite(x) else str(x)
