@@ -1,11 +1,19 @@
-"""A forgiving HTML reader: tags and texts into a tree, with the closing rules that matter for text."""
+"""A forgiving HTML reader: tags and texts into a tree, with the closing rules that matter for text.
+
+One pass, linear in the page's length whatever the page: each place is searched
+for the end of a tag, comment or raw text at most a fixed number of times.
+Trees are at most ``MAX_NESTING`` deep; what a page nests deeper becomes
+children of the deepest level, so no text is lost and nothing here or in the
+callers can run out of stack.
+"""
 
 from __future__ import annotations
 
 import re
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")  # attributes with quotes, to the tag's end, without backtracking
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Element kinds of the HTML standard.
@@ -44,28 +52,57 @@ def _names(attributes: str) -> str:
     return " ".join(out)
 
 
+MAX_NESTING = 100
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
 def parse(html: str) -> Node:
     root = Node("#root")
     stack = [root]
-    at, n = 0, len(html)
+    flattened: dict[str, int] = {}  # open elements, by tag, that are below the deepest level
+    at, n, bad_quotes, bracket = 0, len(html), 0, -1
     while at < n:
-        found = _TOKEN.search(html, at)
-        if not found:
-            stack[-1].children.append(html[at:])
+        start = html.find("<", at)
+        if -1 < bracket < start or bracket < 0:  # the next closing bracket, looked for once
+            bracket = html.find(">", max(start, 0))
+        if start < 0 or bracket < 0 and not html.startswith("<!--", start):
+            stack[-1].children.append(html[at:])  # no tag can end any more
             break
-        if found.start() > at:
-            stack[-1].children.append(html[at : found.start()])
-        at = found.end()
-        data, closing, tag, attributes = found.groups()
-        if data is not None:
-            stack[-1].children.append(data.replace("&", "&amp;"))
-        if tag is None:
+        if start > at:
+            stack[-1].children.append(html[at:start])
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if html.startswith("<![CDATA[", start):
+            end = html.find("]]>", start)
+            stack[-1].children.append(html[start + 9 : end if end >= 0 else n].replace("&", "&amp;"))
+            at = end + 3 if end >= 0 else n
+            continue
+        if html[start + 1] in "!?":
+            at = bracket + 1
+            continue
+        closing = html[start + 1] == "/"
+        found = _NAME.match(html, start + 1 + closing)
+        if not found:
+            stack[-1].children.append("<")
+            at = start + 1
             continue
-        tag = tag.lower()
+        rest = _TAG_REST.match(html, found.end()) if bad_quotes < 3 else None
+        if rest:
+            at = rest.end()
+        else:  # a quote that nothing closes: the tag ends at the next bracket
+            bad_quotes += 1
+            at = html.find(">", found.end()) + 1
+        tag, attributes = found[0].lower(), html[found.end() : at - 1]
         if closing:
+            if flattened.get(tag):
+                flattened[tag] -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
+                    flattened.clear()
                     break
                 if stack[depth].tag in SCOPES and tag not in SCOPES:
                     break
@@ -77,14 +114,14 @@ def parse(html: str) -> Node:
         node = Node(tag, _names(attributes))
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            stop = end.start() if end else n
-            node.children.append(html[at:stop])
+            end = _RAW_END[tag].search(html, at)
+            node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in ("p", "div"):
-            stack.append(node)
-            if len(stack) > 500:  # deeper nesting is flattened
-                stack.pop()
+        elif tag not in VOID and not attributes.endswith("/") or tag in ("p", "div"):
+            if len(stack) <= MAX_NESTING:
+                stack.append(node)
+            else:
+                flattened[tag] = flattened.get(tag, 0) + 1
     return root
 
 

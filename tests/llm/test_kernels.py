@@ -5,6 +5,8 @@ import json
 import math
 import random
 import re
+import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +17,6 @@ from hypothesis import strategies as st
 from chronolens.llm import chat, html_extract, licenses, lm_score, packing, quality
 from chronolens.llm.decontaminate import Phrases, _scan, without_spans
 from chronolens.llm.fm_index import FMIndex
-from chronolens.llm.html_tree import parse
 from chronolens.llm.ngram_join import LEVELS, Sketcher, bands, linked, shingle_sets
 from chronolens.llm.planes import pack, unpack
 from chronolens.llm.text import ALNUM, WORD, hashed_words
@@ -267,34 +268,119 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1
 <aside>side</aside><div id="comments"><p>first!</p></div><form><p>mail</p></form><script>var a="<p>no</p>";</script><footer>&copy; us</footer></body></html>"""
 
 
-def test_html():
+def test_html_kinds_and_names():
     assert html_extract.extract(PAGE % "Title", None) == "Title\n\nOne & two three four\n\nFive\n\nsix\n\nseven\n\nFollow us"
     assert html_extract.extract("", None) == "" and html_extract.extract("just text", None) == "just text"
+
+
+def induced(pages):
+    """The wrapper of one host's pages, by the kernels alone."""
+    shapes = {}
+    for html in pages:
+        shape = html_extract.read(html)[1]
+        shapes.setdefault(shape.key, [0, shape])[0] += 1
     template = None
-    for i in range(12):
-        page = html_extract.outline(parse((PAGE % f"Title {i}").replace("One", f"One {i} " + "word " * i)))
-        template = page if template is None else html_extract.merge(template, page) or template
-    rules = html_extract.wrapper(template)
-    assert rules["content"] == "/html/body/article"
-    again = html_extract.wrapper(html_extract.Template.load(json.loads(json.dumps(template.dump()))))
-    assert again == rules
+    for n, shape in (shapes[k] for k in sorted(shapes)):
+        shape = html_extract._weighted(html_extract.Shape.load(shape.dump()), n)
+        template = shape if template is None else html_extract.merge(template, shape) or template
+    template.numbered()
+    own = html_extract.Rules(template, html_extract.NOTHING)
+    texts, slots, chars, marks = Counter(), Counter(), Counter(), Counter()
+    for html in pages:
+        page, shape = html_extract.read(html)
+        own.number(shape)
+        seen = {(b.shape.number, t) for b, t in html_extract.shown(page)}
+        texts.update(seen)
+        slots.update({k for k, _ in seen})
+        for x in seen:
+            marks[x] |= html_extract.mark_of(html)
+        for b, t in html_extract.shown(page):
+            chars[b.shape.number, t] += len(t)
+    fixed = {x for x, n in texts.items() if n >= max(html_extract.CONSTANT * slots[x[0]], len(pages) / 2) and (marks[x] & (1 << 64) - 1).bit_count() >= html_extract.MIN_PAGES}
+    vary = Counter()
+    for (k, t), n in chars.items():
+        vary[k] += n * ((k, t) not in fixed)
+    constants = {}
+    for k, t in fixed:
+        constants.setdefault(k, []).append(html_extract.text_hash(t))
+    return html_extract.Rules(template, html_extract.wrapper(template, vary, {}, constants))
+
+
+def plain_page(i, body=""):
+    """No telling tag or name anywhere; the menu and the notice are the same on all pages, one of them inside the content."""
+    return f"<html><body><div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div class=x{i}><h1>Title {i}</h1><p>Story {i} tells of {i * 7} things.</p><p>Read all about it in our letter.</p>{body}</div><div><p>All rights are ours</p></div></body></html>"
+
+
+def test_html_alignment_alone_finds_the_content():
+    pages = [plain_page(i, "<h3>More</h3><p>Only here.</p>" if i % 3 == 0 else "<pre>code %d</pre>" % i) for i in range(30)]
+    rules = induced(pages)
+    for i, html in enumerate(pages):
+        more = "\n\nMore\n\nOnly here." if i % 3 == 0 else f"\n\ncode {i}"
+        # the heading that a third of the pages have is theirs, though all of them show the same
+        assert html_extract.extract(html, rules) == f"Title {i}\n\nStory {i} tells of {i * 7} things.{more}"
+
+
+def test_html_a_name_does_not_outweigh_the_counts():
+    page = lambda i: f"<body><nav>menu {i}</nav><div class='wide has sidebar'><h1>T {i}</h1><p>Long text number {i} " + "word " * i + f"</p></div><div class='sidebar'>side {i}</div></body>"
+    rules = induced([page(i) for i in range(20)])
+    assert html_extract.extract(page(3), rules) == "T 3\n\nLong text number 3 word word word"
 
 
 def test_html_slots_that_begin_alike():
-    lead, note = "A standing lead of this host. " * 8, "A standing note of this host, word for word. " * 8
-    page = lambda i: f"<body><article><h1>Title {i}</h1><div class=lead>{lead}Story {i}.</div><section>{note}<b>end</b></section><p>Body {i}.</p></article></body>"
-    template = html_extract.outline(parse(page(0)))
-    for i in range(1, 20):
-        html_extract.merge(template, html_extract.outline(parse(page(i))))
-    rules = html_extract.wrapper(html_extract.Template.load(json.loads(json.dumps(template.dump()))))
-    for i in range(20):
+    lead = "The same standing lead of all pages. " * 20
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div><p>{lead}Story {i}.</p></div><p>Body {i}.</p></article></body>"
+    rules = induced([page(i) for i in range(20)])
+    for i in range(3):
         assert html_extract.extract(page(i), rules) == f"Title {i}\n\n{lead}Story {i}.\n\nBody {i}."
 
 
-def test_tree_matching_keeps_order():
-    leaf = html_extract.Template
-    a, b = [leaf("p"), leaf("ul"), leaf("p")], [leaf("ul"), leaf("p"), leaf("nav")]
-    assert html_extract.matching(a, b) == [(1, 0), (2, 1)]
+def test_html_copies_of_one_page_keep_their_text():
+    rules = induced([plain_page(1)] * 20)
+    assert "Story 1 tells" in html_extract.extract(plain_page(1), rules)
+
+
+def slow_match(a, b):
+    """Simple tree matching as defined, with the pairs of children: all of the dynamic programme's cells."""
+    best = [[(0, ())] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            w = 1 + slow_match(a[i - 1].children, b[j - 1].children)[0] if a[i - 1].label == b[j - 1].label else 0
+            both = best[i - 1][j - 1][0] + w, (*best[i - 1][j - 1][1], (i - 1, j - 1))
+            best[i][j] = max((best[i - 1][j], best[i][j - 1], *([both] if w else [])), key=lambda x: x[0])
+    return best[-1][-1]
+
+
+def test_html_matching_is_the_largest():
+    rng = np.random.default_rng(5)
+
+    def tree(depth):
+        return html_extract.Shape("abc"[rng.integers(3)], 1, [tree(depth - 1) for _ in range(rng.integers(4))] if depth else [])
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        size, _ = slow_match(a.children, b.children)
+        if [x.label for x in a.children] == [x.label for x in b.children]:
+            continue
+        pairs = html_extract.matching(a.children, b.children)
+        assert all(x < y for p, q in zip(pairs, pairs[1:]) for x, y in zip(p, q)) and all(a.children[i].label == b.children[j].label for i, j in pairs)
+        assert sum(html_extract.common(a.children[i], b.children[j], 3) for i, j in pairs) <= size
+        plain = lambda x: html_extract.Shape(x.label)
+        flat = [plain(x) for x in a.children], [plain(x) for x in b.children]
+        assert len(html_extract.matching(*flat)) == slow_match(*flat)[0]
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<div>" * 100_000 + "x", "<div><p>" * 50_000, '<a ">' * 200_000, "<" * 500_000 + ">", "<!--" * 200_000, "<ul><li>" * 50_000, "</x>" * 200_000, "".join(f"<div class=c{'abcdefgh'[i % 8]}><p>{i}</p></div>" for i in range(20_000)), "<b>" * 100_000, "<svg>" * 50_000], ids=range(11))
+def test_html_hostile_pages_take_seconds(html):
+    began = time.time()
+    text = html_extract.extract(html, None)
+    html_extract.json.loads(html_extract.json.dumps(html_extract.read(html)[1].dump()))
+    assert time.time() - began < 15 and isinstance(text, str)
+    if html.endswith("x"):
+        assert text == "x"
+
+
+def test_html_page_marks_are_single_bits():
+    assert all((html_extract.mark_of(str(i)) & (1 << 64) - 1).bit_count() == 1 and -(1 << 63) <= html_extract.mark_of(str(i)) < 1 << 63 for i in range(500))
 
 
 def test_schemas_and_canonical_json():

@@ -261,6 +261,63 @@ def test_html_pages(spark, small):
     assert html_extract.extract_text(odd.limit(0)).count() == 0
 
 
+def brute_wrapper(pages):
+    """Texts of the pages by an induction that isn't ours: slots are paths of tags of well-formed pages, constants are what 95 % of the pages with the path show."""
+    import xml.etree.ElementTree as ET
+
+    shown = []
+    for html in pages:
+        own, stack = [], [(ET.fromstring(html), "")]
+        while stack:
+            x, path = stack.pop()
+            path += "/" + x.tag
+            if text := " ".join("".join(x.itertext()).split()) if x.tag in ("p", "h1", "li") else "":
+                own.append((path, text))
+            elif x.tag not in ("p", "h1", "li"):
+                stack += [(c, path) for c in reversed(x)]
+        shown.append(own)
+    have, show, chars = Counter(), Counter(), Counter()
+    for own in shown:
+        have.update({p for p, _ in own})
+        show.update(set(own))
+    fixed = {x for x, n in show.items() if n >= 0.95 * have[x[0]] and n >= len(pages) / 2}
+    for own in shown:
+        for p, t in own:
+            if (p, t) not in fixed:
+                chars[p.rsplit("/", 1)[0]] += len(t)
+    content = max(chars, key=chars.get)
+    return ["\n\n".join(t for p, t in own if p.startswith(content + "/") and (p, t) not in fixed) for own in shown]
+
+
+def site(i):
+    """Nothing here has a telling tag or name; the order and number of blocks differ from page to page."""
+    menu = "<div><ul><li>Home</li><li>News</li></ul></div>"
+    note = "<p>Write to us about this story.</p>"
+    body = "".join(f"<p>Part {j} of page {i} says {i * j} words.</p>" + note * (j == i % 3) for j in range(3 + i % 5))
+    return f"<body>{menu}<section><h1>Page {i}</h1>{body}</section>{'<div><p>See also our partners</p></div>' * (i % 2)}<div><p>All rights are ours</p></div></body>"
+
+
+def test_html_induction_against_brute_force_on_any_split(spark):
+    pages = [(i, f"http://Plain.example:80/{i}", site(i)) for i in range(60)] + [(100 + i, "http://few.example/", site(i)) for i in range(3)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = dict(enumerate(brute_wrapper([x[2] for x in pages[:60]])))
+    assert all("Write to us" not in x and "rights" not in x and x.startswith("Page") for x in want.values())
+    got = [{r["page_id"]: r["text"] for r in html_extract.extract_text(table.repartition(n)).collect()} for n in (1, 3, 16)]
+    assert got[0] == got[1] == got[2]
+    assert {i: got[0][i] for i in want} == want
+    assert got[0][100].startswith("Page 0")
+
+
+def test_html_awkward_tables(spark):
+    deep = "<div>" * 5_000 + "<p>deep</p>"
+    long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://h.example/a", deep, 1), (2, "http://h.example/b", long, 2), (2, "http://h.example/b", long, 2), (3, "http://h.example/c", "<a " * 100_000, 3), (4, "http://h.example/d", "<p>\ud83d\ude00 &#xd800; ok", 4)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host int").withColumnsRenamed({"host": "salt"})
+    got = {r["page_id"]: r for r in html_extract.extract_text(table).collect()}
+    assert got[1]["text"] == "deep" and got[2]["text"].count("\n\n") == 19_999 and got[4]["text"].endswith("ok")
+    assert html_extract.extract_text(table).count() == 5
+
+
 def test_tool_calls(spark):
     call = lambda i, name, arguments, **more: json.dumps({"tool_call": {"id": i, "name": name, "arguments": arguments} | more})
     rows = [
