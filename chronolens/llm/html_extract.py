@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +59,7 @@ HEADINGS = frozenset("h1 h2".split())
 _PLAIN = re.compile(r"[^a-z_-]")
 
 
+@lru_cache(50_000)
 def verdict(tag: str, names: str, inside: bool) -> int:
     """By kind and name: 2 never content, 1 not content unless the counts clear it, 0 nothing against it. inside: below an article, whose own header holds the title."""
     if tag in NEVER or tag in KINDS or names and SPOKEN.search(names):
@@ -150,17 +152,22 @@ class Shape:
         return self
 
 
-def label_of(block: Block) -> str:
+@lru_cache(50_000)
+def label_of(tag: str, names: str) -> str:
     """Tag and names; words of names with anything but letters (numbers of posts, generated names) are left out."""
-    names = " ".join(sorted({x for x in block.names.split() if not _PLAIN.search(x)})) if block.names else ""
-    tag = _PLAIN.sub("_", block.tag.replace("#", "")) if block.tag not in BLOCK else block.tag
+    names = " ".join(sorted({x for x in names.split() if not _PLAIN.search(x)})) if names else ""
+    tag = _PLAIN.sub("_", tag.replace("#", "")) if tag not in BLOCK else tag
     return f"{tag}.{names}" if names else tag
 
 
 def shaped(block: Block) -> Shape:
     """The collapsed tree of a page; every block knows the node that it became."""
-    out = Shape(label_of(block))
-    made = [(x, shaped(x)) for x in block.items if isinstance(x, Block)]
+    out = Shape(label_of(block.tag, block.names))
+    made = [(x, shaped(x)) for x in block.items if type(x) is Block]
+    block.shape = out
+    if not made:
+        out.key = out.label
+        return out
     number: dict[str, int] = {}
     for _, s in made:
         number[s.label] = number.get(s.label, 0) + 1
@@ -173,10 +180,7 @@ def shaped(block: Block) -> Shape:
         elif by_key[run].key != s.key:
             _absorb(by_key[run], s)
         x.shape = by_key[run]
-    for s in out.children:
-        s.key = _key(s)
     out.key = _key(out)
-    block.shape = out
     return out
 
 
@@ -201,10 +205,12 @@ def settled(block: Block) -> None:
     stack = [block]
     while stack:
         x = stack.pop()
+        if not x.shape.children:
+            continue
         own = {id(c) for c in x.shape.children}
         by_label = {c.label: c for c in x.shape.children}
         for child in x.items:
-            if isinstance(child, Block):
+            if type(child) is Block:
                 if id(child.shape) not in own:
                     child.shape = by_label[child.shape.label]
                 stack.append(child)

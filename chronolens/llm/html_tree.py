@@ -10,6 +10,7 @@ callers can run out of stack.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -39,6 +40,7 @@ class Node:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
 
+@lru_cache(10_000)
 def _names(attributes: str) -> str:
     if not attributes or "=" not in attributes:
         return "hidden" if "hidden" in attributes.lower() else ""
@@ -135,8 +137,5 @@ def _end(stack: list[Node], kinds: tuple[str, ...]) -> None:
             return
 
 
-_SPACE = re.compile(r"[\s ]+")
-
-
 def squeeze(text: str) -> str:
-    return _SPACE.sub(" ", unescape(text) if "&" in text else text).strip()
+    return " ".join((unescape(text) if "&" in text else text).split())

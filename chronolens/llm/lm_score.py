@@ -38,6 +38,7 @@ from chronolens.llm.scratch import Scratch
 from chronolens.llm.text import U, hashed_words, mix, texts_of
 
 CHUNK = 2_000_000
+PART_BYTES = 8 << 20  # of the input, for each part of the hash space: what a part holds doesn't grow with the input
 KEY_BITS = 56, 48  # of the hashes of single words and of pairs
 FOLDS, TEST_FOLD, TUNING_FOLD = 5, 1, 2  # of crc32(id as text)
 BUCKETS = 64
@@ -283,18 +284,24 @@ def _score(parts: int, n: int, v: int, mixture: np.ndarray):
     return run
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """What the planner knows of the size of docs; 0 where it knows nothing."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents whose fold isn't TEST_FOLD.  A null or empty text
     has the end token only; a null id is in fold 0.  Rows that repeat are
-    counted and scored as often.  No rows give no rows; with no training
-    documents, all counts are 0.
+    counted and scored as often.  Other columns, of any name, are not read.  No
+    rows give no rows; with no training documents, all counts are 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(docs) // PART_BYTES, 1 << 20))
     asked = source.mapInArrow(_ask(parts), ROWS)
     answers = scratch.write(asked.groupBy("p").applyInArrow(_answer, ANSWERS))
     del asked

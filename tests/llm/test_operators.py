@@ -233,6 +233,41 @@ def test_lm_scores(docs, rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_scores_against_brute_force(docs, rows):
+    """The mixture's weights by expectation-maximisation over every single tuning token, without histograms."""
+    of = lambda i: zlib.crc32(str(i).encode()) % 5
+    tokens = {i: [*words(t), None] for i, t, _ in rows}
+    pairs_of = lambda ws: list(zip([None, *ws[:-1]], ws, strict=True))  # noqa: E731  # the start's count is the end's
+    level = lambda c: 0 if c == 0 else c.bit_length()
+
+    def counted(folds):
+        one = Counter(w for i, ws in tokens.items() if of(i) in folds for w in ws)
+        two = Counter((a is None and j == 0, a, b) for i, ws in tokens.items() if of(i) in folds for j, (a, b) in enumerate(pairs_of(ws)))
+        return one, two, one.total(), len(one)
+
+    def parts(model, ws):
+        one, two, n, v = model
+        for j, (a, b) in enumerate(pairs_of(ws)):
+            yield level(one[a]), two[j == 0, a, b] / one[a] if one[a] else 0.0, (one[b] + 0.5) / (n + 0.5 * (v + 1))
+
+    main, both = counted({0, 3, 4}), counted({0, 2, 3, 4})
+    seen = defaultdict(list)
+    for i, ws in tokens.items():
+        if of(i) == 2:
+            for bucket, p, q in parts(main, ws):
+                seen[bucket].append(p / q)
+    weight = defaultdict(float)
+    for bucket, ratios in seen.items():
+        w = 0.5 if bucket else 0.0
+        for _ in range(60):
+            w = sum(w * r / (w * r + 1 - w) for r in ratios) / len(ratios)
+        weight[bucket] = w
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
+    for i, ws in tokens.items():
+        want = sum(math.log10(weight[bucket] * p + (1 - weight[bucket]) * q) for bucket, p, q in parts(both, ws))
+        assert got[i] == pytest.approx(want, rel=1e-3)
+
+
 def test_lm_scores_awkward(awkward, empty):
     got = {r["doc_id"]: r for r in lm_score.score(awkward).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 1 and got[9]["n_tokens"] == 240_001 and all(math.isfinite(r["score"]) for r in got.values())
