@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from chronolens.functions.stats import BANDS, HORIZON, LAGS, NAMES, PERIODS, WINDOW
+from chronolens.functions.stats import BANDS, HORIZON, LAGS, NAMES, PERIODS, TIE, WINDOW
 
 
 def _acf(d: np.ndarray, lag: int) -> np.ndarray:
@@ -30,7 +30,7 @@ def _rolling_vol(r: np.ndarray, window: int) -> np.ndarray:
     return np.sqrt(np.maximum(q - s * s / window, 0) / (window - 1) * PERIODS)
 
 
-def statistics(r: np.ndarray) -> np.ndarray:
+def statistics(r: np.ndarray, window: int = WINDOW, k: int = BANDS, horizon: int = HORIZON) -> np.ndarray:
     """One row of values for each path, in the order of NAMES; NaN is undefined."""
     m, n = r.shape
     out = np.full((m, len(NAMES)), np.nan)
@@ -43,13 +43,13 @@ def statistics(r: np.ndarray) -> np.ndarray:
     acf = {h: _acf(a, h) for h in [*range(1, LAGS + 1), 66]}
     out[:, 2], out[:, 3], out[:, 4], out[:, 5] = acf[1], acf[22], acf[66], _acf(d, 1)
     out[:, 6] = n * (n + 2) * sum(acf[h] ** 2 / (n - h) for h in range(1, LAGS + 1) if n > h)
-    vol = _rolling_vol(r, WINDOW)
+    vol = _rolling_vol(r, window)
     valid = vol.shape[1]
-    if valid > HORIZON and valid >= BANDS:
-        cuts = np.quantile(vol, np.arange(1, BANDS) / BANDS, axis=1)
-        band = sum((vol >= c[:, None]).astype(np.int64) for c in cuts)
-        x, y = band[:, :-HORIZON], band[:, HORIZON:]
-        k, pairs = BANDS, valid - HORIZON
+    if valid > horizon and valid >= k:
+        cuts = np.quantile(vol, np.arange(1, k) / k, axis=1)
+        band = sum((vol >= c[:, None] * (1 - TIE)).astype(np.int64) for c in cuts)
+        x, y = band[:, :-horizon], band[:, horizon:]
+        pairs = valid - horizon
         cell = (np.arange(m)[:, None] * k * k + x * k + y).ravel()
         table = np.bincount(cell, minlength=m * k * k).reshape(m, k, k).astype(float)
         rows, columns = table.sum(axis=2), table.sum(axis=1)
@@ -58,7 +58,7 @@ def statistics(r: np.ndarray) -> np.ndarray:
         expected = rows[:, :, None] * columns[:, None, :] / pairs
         chi2 = np.where(expected > 0, (table - expected) ** 2 / np.where(expected > 0, expected, 1), 0).sum(axis=(1, 2))
         out[:, 7], out[:, 8], out[:, 9] = same, (same - chance) * 100, np.sqrt(chi2 / (pairs * (k - 1)))
-        u, v = vol[:, :-HORIZON], vol[:, HORIZON:]
+        u, v = vol[:, :-horizon], vol[:, horizon:]
         good = (u > 0) & (v > 0)
         lu, lv = np.log(np.where(good, u, 1)), np.log(np.where(good, v, 1))
         c = good.sum(axis=1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 PERIODS, WINDOW, BANDS, HORIZON, LAGS = 252, 20, 5, 5, 22
 KEYS = ("series_id",)
+TIE = 1e-12  # a volatility this close to a cut, relatively, is at it: resampled series repeat values but for the order of summing
 NAMES = ("Ann. volatility", "Excess kurtosis", "ACF |r| lag 1", "ACF |r| lag 22", "ACF |r| lag 66", "ACF r lag 1", f"Ljung-Box Q({LAGS}) on |r|", "Same-band rate", "Lift over independence", "Cramer's V", "Regression R2")
 
 
@@ -76,7 +77,7 @@ def vol_bands(frame: DataFrame, window: int = WINDOW, k: int = BANDS, keys: tupl
     vol = realised_vol(frame, window, keys=keys)
     marks = F.array(*[F.lit(j / k) for j in range(1, k)])
     cuts = vol.groupBy(*keys).agg(F.percentile("rv", marks).alias("cuts"), F.count("rv").alias("valid"))
-    label = F.aggregate("cuts", F.lit(0), lambda n, c: n + F.when(F.col("rv") >= c, 1).otherwise(0))
+    label = F.aggregate("cuts", F.lit(0), lambda n, c: n + F.when(F.col("rv") >= c * (1 - TIE), 1).otherwise(0))
     banded = vol.join(cuts, list(keys)).withColumn("band", F.when(F.col("rv").isNull() | (F.col("valid") < k), -1).otherwise(label))
     return banded.drop("cuts", "valid")
 
@@ -126,7 +127,7 @@ def band_shares(banded: DataFrame, k: int = BANDS, keys: tuple[str, ...] = KEYS)
     return counts.select(*keys, "total", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"c{b}").alias("n")) for b in range(k)])).alias("x")).select(*keys, "x.band", "x.n", (F.col("x.n") / F.col("total")).alias("share"))
 
 
-def all_statistics(frame: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def all_statistics(frame: DataFrame, keys: tuple[str, ...] = KEYS, window: int = WINDOW, k: int = BANDS, horizon: int = HORIZON) -> DataFrame:
     """Rows (keys, statistic, value) of the eleven registered statistics."""
     vol = frame.groupBy(*keys).agg(ann_vol().alias("v0"), excess_kurtosis().alias("v1"))
     absolute = autocorrelations(frame, [*range(1, LAGS + 1), 66], True, keys)
@@ -134,6 +135,6 @@ def all_statistics(frame: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     box = F.max("n") * (F.max("n") + 2) * F.sum(F.when((F.col("lag") <= LAGS) & (F.col("n") > F.col("lag")), F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))))
     acf = absolute.groupBy(*keys).agg(pick(1).alias("v2"), pick(22).alias("v3"), pick(66).alias("v4"), box.alias("v6"))
     signed = autocorrelations(frame, [1], False, keys).select(*keys, F.col("acf").alias("v5"))
-    bands = band_statistics(band_pairs(vol_bands(frame, keys=keys), keys=keys), keys=keys).select(*keys, F.col("same_band").alias("v7"), F.col("lift").alias("v8"), F.col("cramers_v").alias("v9"), F.col("vol_r2").alias("v10"))
+    bands = band_statistics(band_pairs(vol_bands(frame, window, k, keys), horizon, keys), k, keys).select(*keys, F.col("same_band").alias("v7"), F.col("lift").alias("v8"), F.col("cramers_v").alias("v9"), F.col("vol_r2").alias("v10"))
     wide = vol.join(acf, list(keys), "left").join(signed, list(keys), "left").join(bands, list(keys), "left")
     return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("statistic"), F.col(f"v{i}").cast("double").alias("value")) for i, name in enumerate(NAMES)])).alias("x")).select(*keys, "x.statistic", "x.value")

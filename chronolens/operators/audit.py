@@ -38,6 +38,21 @@ def audit_window(frame: DataFrame, feature: str, rebuild: Callable, name: str, n
     return summarise(sampled(both, n_samples, seed), name, tolerance)
 
 
+def audit_truncated(frame: DataFrame, feature: str, rebuild: Column, name: str, last: int | None = None, n_samples: int = 200, seed: int = 0, tolerance: float = TOLERANCE) -> DataFrame:
+    """Audits a feature against an aggregate over what each sampled row's history held: its rows up to that one, or the last of them.
+
+    The sampled rows (a bounded number of each series) are joined with their
+    own past, which nothing later can enter.
+    """
+    marks = sampled(frame.select("series_id", "i", F.col(feature).alias("feature")), n_samples, seed)
+    past = frame.drop(feature).withColumnsRenamed({"series_id": "__s", "i": "__i"})
+    near = (F.col("__s") == F.col("series_id")) & (F.col("__i") <= F.col("i"))
+    if last is not None:
+        near = near & (F.col("__i") > F.col("i") - last)
+    rebuilt = marks.join(past, near, "left").groupBy("series_id", "i").agg(F.first("feature").alias("feature"), rebuild.alias("rebuilt"))
+    return summarise(rebuilt, name, tolerance)
+
+
 def audit_rebuild(frame: DataFrame, feature: str, rebuild: Callable, name: str, n_samples: int = 200, seed: int = 0, tolerance: float = TOLERANCE) -> DataFrame:
     """Audits any feature: rebuild takes the history up to a row as a pandas frame and gives the value.
 
@@ -66,11 +81,14 @@ def audit_rebuild(frame: DataFrame, feature: str, rebuild: Callable, name: str,
 def shift_test(frame: DataFrame, signal: str = "signal", metric: Callable[[str], Column] = stats.sharpe, implausible: float = IMPLAUSIBLE) -> DataFrame:
     """Rows (series_id, base, lagged, drop, passed): the metric of signal * ret, and with the signal one bar late.
 
-    Fails only if the base is implausibly good; a flat base passes.
+    Fails only if the base is implausibly good; a flat base passes.  Products
+    that aren't numbers are 0, infinite ones the largest number.
     """
     order = Window.partitionBy("series_id").orderBy("i")
     late = F.lag(signal, 1, 0.0).over(order)
-    product = lambda s: F.coalesce(F.nanvl(s * F.col("ret"), F.lit(None).cast("double")), F.lit(0.0))
+    largest = F.lit(1.7976931348623157e308)
+    bounded = lambda x: F.when(F.isnan(x) | x.isNull(), 0.0).when(F.abs(x) <= largest, x).otherwise(F.signum(x) * largest)
+    product = lambda s: bounded(s * F.col("ret"))
     both = frame.select("series_id", product(F.col(signal)).alias("now"), product(late).alias("late"))
     sums = both.groupBy("series_id").agg(metric("now").alias("base"), metric("late").alias("lagged"))
     flat = F.abs("base") < FLAT

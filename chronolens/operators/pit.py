@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,16 +28,19 @@ def statutory_knowable(form: str) -> Callable[[Column], Column]:
     return lambda event: event + F.make_dt_interval(F.lit(days))
 
 
-def add_pit(df: DataFrame, event_time: str | Column, knowable_at, retrieved_at: str | Column | None = None) -> DataFrame:
+def add_pit(df: DataFrame, event_time: str | Column, knowable_at, retrieved_at: str | Column | None = None, validate: bool = True) -> DataFrame:
     """df with event_time, knowable_at and retrieved_at.
 
     Each is a column name, a Column, or (knowable_at) a function of the event
-    time.  retrieved_at is now if not given.  Violations show by validate_pit.
+    time.  retrieved_at is now if not given.  validate reads df until the first
+    row that was knowable before it happened, and raises PITViolation; without
+    it the plan stays lazy.
     """
     as_column = lambda x: F.col(x) if isinstance(x, str) else x
     event = as_column(event_time)
     known = knowable_at(event) if callable(knowable_at) and not isinstance(knowable_at, Column) else as_column(knowable_at)
-    return df.withColumns({"event_time": event, "knowable_at": known, "retrieved_at": F.current_timestamp() if retrieved_at is None else as_column(retrieved_at)})
+    stamped = df.withColumns({"event_time": event, "knowable_at": known, "retrieved_at": F.current_timestamp() if retrieved_at is None else as_column(retrieved_at)})
+    return validate_pit(stamped) if validate else stamped
 
 
 def pit_violations(df: DataFrame) -> DataFrame:
@@ -69,7 +73,16 @@ def snapshot(vintages: DataFrame, asof: str | Column, key: str = "entity", value
     return latest.select(key, "event_time", "knowable_at", *values) if values is not None else latest
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str = "knowable_at", by: list[str] | str | None = None, suffix: str = "_r", check: bool = True) -> DataFrame:
+def time_range(rows: DataFrame, time: str, n: int) -> Column:
+    """The number of the range that a time lies in, of n ranges with about as many rows each; equal times share one, null is in the first."""
+    if n <= 1:
+        return F.lit(0)
+    kind = rows.schema[time].dataType
+    marks = rows.agg(F.percentile_approx(time, [i / n for i in range(1, n)], 10 * n).cast("array<string>").alias("m")).first()["m"]
+    return F.aggregate(F.array(*[(F.col(time) >= F.lit(m).cast(kind)).cast("int") for m in sorted(set(marks or []))] or [F.lit(0)]), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
+def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str = "knowable_at", by: list[str] | str | None = None, suffix: str = "_r", check: bool = True, ranges: int | None = None) -> DataFrame:
     """Backward as-of join, left outer: to each left row the last right row of the same key with right_time <= left_time.
 
     One union and one window pass instead of a range join: both sides are
@@ -78,6 +91,12 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     sides.  Right rows of equal time go by event_time and retrieved_at if
     present, then by a hash of the row.  Right columns that left has too get
     the suffix; left rows with a null key or time find nothing.
+
+    ranges: time is cut into so many ranges at quantiles, each sorted on its
+    own; the last right row of each range, one row, is carried to the ranges
+    after it.  Without a key that is how the work is dealt (by default into as
+    many ranges as there are shuffle partitions); with keys it splits those
+    that hold most of the rows.
     """
     if check and right_time == "knowable_at":
         validate_pit(right, "right")
@@ -91,8 +110,17 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     lefts = left.select(*key(), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), l_row.alias("__l"))
     rights = right.where(F.col(right_time).isNotNull()).select(*key(), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), r_row.alias("__r"), tie.alias("__tie"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = Window.partitionBy(*[f"__k{i}" for i in range(max(1, len(keys)))]).orderBy("__t", "__side", "__tie")
+    n = ranges or (1 if keys else int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = both.withColumn("__range", time_range(both, "__t", n))
+    group = [f"__k{i}" for i in range(max(1, len(keys)))]
+    order = Window.partitionBy(*group, "__range").orderBy("__t", "__side", "__tie")
     met = both.withColumn("__m", F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__side = 1")
+    if n > 1:  # one row for each key and range, with the last right row of the ranges before it
+        latest = both.groupBy(*group, "__range").agg(F.max_by("__r", F.when(F.col("__side") == 0, F.struct("__t", "__tie"))).alias("__r"))
+        before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = latest.select(*[F.col(c).alias(f"{c}_c") for c in (*group, "__range")], F.last("__r", ignorenulls=True).over(before).alias("__c"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_c")) for c in (*group, "__range")]
+        met = met.join(carried, reduce(lambda a, b: a & b, same), "left").withColumn("__m", F.coalesce("__m", "__c"))
     usable = F.col("__t").isNotNull()
     for i in range(len(keys)):
         usable = usable & F.col(f"__k{i}").isNotNull()

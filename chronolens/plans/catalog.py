@@ -32,6 +32,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.returns(S.segment_prices(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")))
 
 
+def segment_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.segment_prices(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.returns(S.segment_prices(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "c_nationkey"))
 
@@ -50,10 +54,10 @@ MOMENTS = """SELECT series_id, count(ret) AS n, avg(ret) * 252 AS ann_return, st
 BANDS = """,
 vol AS (SELECT *, CASE WHEN i >= 20 THEN stddev_samp(ret) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252) END AS rv FROM ret),
 cuts AS (SELECT series_id, quantile_cont(rv, 0.2) AS q1, quantile_cont(rv, 0.4) AS q2, quantile_cont(rv, 0.6) AS q3, quantile_cont(rv, 0.8) AS q4, count(rv) AS valid FROM vol GROUP BY series_id),
-band AS (SELECT vol.*, CASE WHEN rv IS NULL OR valid < 5 THEN -1 ELSE CAST(rv >= q1 AS INTEGER) + CAST(rv >= q2 AS INTEGER) + CAST(rv >= q3 AS INTEGER) + CAST(rv >= q4 AS INTEGER) END AS band FROM vol JOIN cuts USING (series_id)),
+band AS (SELECT vol.*, CASE WHEN rv IS NULL OR valid < 5 THEN -1 ELSE CAST(rv >= q1 * (1 - 1e-12) AS INTEGER) + CAST(rv >= q2 * (1 - 1e-12) AS INTEGER) + CAST(rv >= q3 * (1 - 1e-12) AS INTEGER) + CAST(rv >= q4 * (1 - 1e-12) AS INTEGER) END AS band FROM vol JOIN cuts USING (series_id)),
 ahead AS (SELECT series_id, band AS a, lead(band, 5) OVER w AS b, rv, lead(rv, 5) OVER w AS rv_ahead FROM band WINDOW w AS (PARTITION BY series_id ORDER BY i)),
 pairs AS (SELECT * FROM ahead WHERE a >= 0 AND b >= 0)"""
-CELLS = """,
+_CELLS = """,
 margin_a AS (SELECT series_id, a, count(*) AS na FROM pairs GROUP BY series_id, a),
 margin_b AS (SELECT series_id, b, count(*) AS nb FROM pairs GROUP BY series_id, b),
 cell AS (SELECT series_id, a, b, count(*) AS nab FROM pairs GROUP BY series_id, a, b),
@@ -61,9 +65,29 @@ total AS (SELECT series_id, count(*) AS n, avg(CAST(a = b AS DOUBLE)) AS same_ba
 chance AS (SELECT series_id, sum(CAST(na AS DOUBLE) * nb) AS s FROM margin_a JOIN margin_b USING (series_id) WHERE a = b GROUP BY series_id),
 chi AS (SELECT series_id, sum(pow(coalesce(nab, 0) - CAST(na AS DOUBLE) * nb / n, 2) / (CAST(na AS DOUBLE) * nb / n)) AS x2
   FROM margin_a JOIN margin_b USING (series_id) JOIN total USING (series_id) LEFT JOIN cell USING (series_id, a, b) GROUP BY series_id),
-fit AS (SELECT series_id, CASE WHEN count(*) >= 30 THEN regr_r2(ln(rv_ahead), ln(rv)) END AS vol_r2 FROM pairs WHERE rv > 0 AND rv_ahead > 0 GROUP BY series_id)
+fit AS (SELECT series_id, CASE WHEN count(*) >= 30 THEN regr_r2(ln(rv_ahead), ln(rv)) END AS vol_r2 FROM pairs WHERE rv > 0 AND rv_ahead > 0 GROUP BY series_id)"""
+_CELL_ROWS = """
 SELECT series_id, n AS n_pairs, same_band, coalesce(s, 0) / (CAST(n AS DOUBLE) * n) AS independence, (same_band - coalesce(s, 0) / (CAST(n AS DOUBLE) * n)) * 100 AS lift, sqrt(x2 / (n * 4.0)) AS cramers_v, vol_r2
 FROM total LEFT JOIN chance USING (series_id) LEFT JOIN chi USING (series_id) LEFT JOIN fit USING (series_id)"""
+CELLS = _CELLS + _CELL_ROWS
+
+_LAGGED = [*range(1, 23), 66]
+_LAG = lambda x, hs: f"SELECT series_id, n, d, {', '.join(f'lag(d, {h}) OVER w AS l{h}' for h in hs)} FROM (SELECT series_id, i, {x} - avg({x}) OVER (PARTITION BY series_id) AS d, count(*) OVER (PARTITION BY series_id) AS n FROM ret) WINDOW w AS (PARTITION BY series_id ORDER BY i)"
+_ACF = lambda h: f"coalesce(sum(d * l{h}) / nullif(sum(d * d), 0), 0)"
+#: After a table ret (series_id, i, ret): rows (series_id, statistic, value) of the eleven statistics.
+STATISTICS = (
+    BANDS
+    + _CELLS
+    + f""",
+banded AS ({_CELL_ROWS}),
+lag_a AS ({_LAG("abs(ret)", _LAGGED)}), lag_r AS ({_LAG("ret", [1])}),
+aa AS (SELECT series_id, {", ".join(f"{_ACF(h)} AS a{h}" for h in _LAGGED)}, max(n) AS n FROM lag_a GROUP BY series_id),
+ar AS (SELECT series_id, {_ACF(1)} AS a1 FROM lag_r GROUP BY series_id),
+mo AS (SELECT series_id, stddev_samp(ret) * sqrt(252) AS v, coalesce(kurtosis_pop(ret), 0) AS k FROM ret GROUP BY series_id),
+wide AS (SELECT mo.series_id, [v, k, aa.a1, aa.a22, aa.a66, ar.a1, n * (n + 2) * ({" + ".join(f"CASE WHEN n > {h} THEN aa.a{h} * aa.a{h} / (n - {h}) ELSE 0 END" for h in range(1, 23))}), same_band, lift, cramers_v, vol_r2] AS xs
+  FROM mo JOIN aa ON aa.series_id = mo.series_id JOIN ar ON ar.series_id = mo.series_id LEFT JOIN banded ON banded.series_id = mo.series_id)
+SELECT series_id, unnest([{", ".join("'" + n.replace("'", "''") + "'" for n in stats.NAMES)}]) AS statistic, unnest(xs) AS value FROM wide"""
+)
 
 
 def acf_sql(lags: str, absolute: bool) -> str:
@@ -210,7 +234,7 @@ for _name in ("independence", "lift", "cramers_v", "vol_r2"):
     query({"independence": "independence_baseline", "lift": "lift_over_independence"}.get(_name, _name), f"SELECT series_id, {_name} FROM (WITH {DAILY}{BANDS}{CELLS})", doubles=_name)(lambda spark, sf_dir, c=_name: _banded(daily(spark, sf_dir)).select("series_id", c))
 
 
-@query("all_statistics", None)
+@query("all_statistics", f"WITH {SEGMENTS}{STATISTICS}", doubles="value", digits=4)
 def _(spark, sf_dir):
     return stats.all_statistics(segments(spark, sf_dir))
 
@@ -248,7 +272,7 @@ def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = F.array(*[F.lit(f) for f in pit.FILING_LAG_DAYS])
     orders = table(spark, sf_dir, "orders").withColumn("form", F.element_at(forms, (F.col("o_orderkey") % 8 + 1).cast("int")))
     known = F.col("o_orderdate") + F.make_dt_interval(pit.lag_days(F.col("form")))
-    return pit.add_pit(orders.withColumnRenamed("o_custkey", "entity"), "o_orderdate", known)
+    return pit.add_pit(orders.withColumnRenamed("o_custkey", "entity"), "o_orderdate", known, validate=False)
 
 
 @query("filing_lag_stamp", f"WITH {_VINTAGES} SELECT o_orderkey, event_time, knowable_at FROM vintage")
@@ -313,15 +337,36 @@ def _audit(name: str, feature: str, rebuilt: str):
     query(name, _audit_sql(name, feature, rebuilt), doubles="max_abs_diff")(run)
 
 
-_audit("audit_trailing_mean", _TRAIL, _TRAIL)
-_audit("audit_full_sample_z", _FULL_Z, _PAST_Z)
+_TRUNCATED = f"(SELECT avg(r.ret) FROM ret r WHERE r.series_id = x.series_id AND r.i <= x.i AND r.i > x.i - 20)"
+
+
+def _truncated_sql(name: str) -> str:
+    """The trailing mean against that of the last 20 rows of each sampled row's truncated history."""
+    return f"""WITH {SEGMENTS}, x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY md5('0|' || CAST(i AS VARCHAR)), i) AS k FROM (SELECT series_id, i, {_TRAIL} AS feature FROM ret) WHERE feature IS NOT NULL) WHERE k <= 200),
+both_ AS (SELECT feature, {_TRUNCATED} AS rebuilt FROM x)
+SELECT '{name}' AS name, count(*) AS n_checked, count(*) FILTER (WHERE rebuilt IS NULL OR abs(feature - rebuilt) > 1e-9) AS n_mismatched, max(abs(feature - rebuilt)) AS max_abs_diff, count(*) > 0 AND count(*) FILTER (WHERE rebuilt IS NULL OR abs(feature - rebuilt) > 1e-9) = 0 AS passed FROM both_"""
+
+
+@query("audit_trailing_mean", _truncated_sql("audit_trailing_mean"), doubles="max_abs_diff")
+def _(spark, sf_dir):
+    frame = segments(spark, sf_dir).select("series_id", "i", "ret", F.expr(_TRAIL).alias("feature"))
+    return audit.audit_truncated(frame, "feature", F.avg("ret"), "audit_trailing_mean", last=20, tolerance=1e-9)
+
+
+@query("audit_full_sample_z", _audit_sql("audit_full_sample_z", _FULL_Z, _PAST_Z), doubles="max_abs_diff")
+def _(spark, sf_dir):
+    frame = segments(spark, sf_dir).select("series_id", "i", "ret", F.expr(_FULL_Z).alias("feature"))
+    spread = lambda past: F.stddev_samp("ret").over(past)
+    return audit.audit_window(frame, "feature", lambda past: F.when(spread(past) != 0, (F.col("ret") - F.avg("ret").over(past)) / spread(past)), "audit_full_sample_z", tolerance=1e-9)
+
+
 _audit("audit_centred", _MIDDLE, f"CASE WHEN i > 10 THEN avg(ret) OVER ({_PART} ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) END")
 
 
-@query("audit_rebuild_callable", None)
+@query("audit_rebuild_callable", _truncated_sql("callable"), doubles="max_abs_diff")
 def _(spark, sf_dir):
     frame = segments(spark, sf_dir).withColumn("feature", F.expr(_TRAIL))
-    return audit.audit_rebuild(frame, "feature", lambda h: h["ret"].tail(20).mean(), "callable", n_samples=20)
+    return audit.audit_rebuild(frame, "feature", lambda h: h["ret"].tail(20).mean(), "callable", tolerance=1e-9)
 
 
 _SHIFT = """, sig AS (SELECT series_id, i, ret, {0} AS signal FROM ret),
@@ -431,10 +476,33 @@ def _(spark, sf_dir):
     return compare.survivors(_acf_comparison(spark, sf_dir), 0.1)
 
 
-@query("three_worlds_panel", None)
+_WORLDS = 40  # simulations of each null: enough for a two-sided p-value below 0.05
+
+
+def _worlds_sql(real: str) -> str:
+    """p-values of all statistics against the three bootstrap nulls; values are compared to nine digits, for a permutation keeps some of them but for the order of summing."""
+    drawn = " UNION ALL ".join(f"SELECT series_id, '{n}' AS null_name, sim, i, ret FROM (WITH {sql.replace(f'range(0, {_SIMS})', f'range(0, {_WORLDS})')} SELECT * FROM drawn)" for n, sql in (("shuffled", _SHUFFLED), ("block", _BLOCKS), ("stationary", _STATIONARY)))
+    return f"""WITH {real}, worlds AS ({drawn}),
+measured AS (SELECT split_part(series_id, '|', 1) AS series_id, split_part(series_id, '|', 2) AS null_name, statistic, round(value, 9) AS value
+  FROM (WITH ret AS (SELECT series_id || '|' || null_name || '|' || sim AS series_id, i, ret FROM worlds){STATISTICS})),
+actual AS (SELECT series_id, statistic, round(value, 9) AS actual FROM (WITH r0 AS (SELECT * FROM ret), ret AS (SELECT * FROM r0){STATISTICS})),
+sums AS (SELECT m.series_id, m.statistic, null_name, max(actual) AS actual, avg(value) AS mean, count(value) AS n, count(*) FILTER (WHERE value >= actual) AS ge, count(*) FILTER (WHERE value <= actual) AS le
+  FROM measured m JOIN actual a ON a.series_id = m.series_id AND a.statistic = m.statistic GROUP BY m.series_id, m.statistic, null_name),
+tested AS (SELECT *, CASE WHEN actual IS NOT NULL AND n > 0 THEN least(1.0, 2.0 * least((1.0 + ge) / (n + 1), (1.0 + le) / (n + 1))) END AS p FROM sums)"""
+
+
+def _worlds(real: DataFrame) -> DataFrame:
+    nine = lambda df: df.withColumn("value", F.round("value", 9))
+    return compare.p_values(nine(stats.all_statistics(real)), nine(compare.sql_distribution(real, _WORLDS)))
+
+
+_BOOT = tuple(surrogates.GENERATORS)
+_PANEL = ", ".join(f"max({c}) FILTER (WHERE null_name = '{x}') AS {x}_{n}" for x in _BOOT for c, n in (("mean", "mean"), ("p", "p")))
+
+
+@query("three_worlds_panel", _worlds_sql(DAILY) + f""" SELECT series_id, statistic, max(actual) AS "real", {_PANEL}, bool_and(coalesce(p < 0.05, false)) AS survives_all FROM tested GROUP BY series_id, statistic""", doubles='"real" ' + " ".join(f"{x}_{n}" for x in _BOOT for n in ("mean", "p")), digits=4)
 def _(spark, sf_dir):
-    own = daily(spark, sf_dir)
-    return compare.panel(compare.p_values(stats.all_statistics(own), compare.sql_distribution(own, 5)), tuple(surrogates.GENERATORS))
+    return compare.panel(_worlds(daily(spark, sf_dir)), _BOOT)
 
 
 @query("flagship_comparison", None)
@@ -449,9 +517,29 @@ def _(spark, sf_dir):
     return compare.compare(S.with_enough(segments(spark, sf_dir), S.MIN_ORCHESTRATED), 100, seed=42)
 
 
-@query("verdicts_by_segment", None)
+_KEPT = "kept AS (SELECT series_id, statistic, bool_and(coalesce(p < 0.05, false)) AS survives FROM tested GROUP BY series_id, statistic)"
+_PLACE = "list_position([" + ", ".join("'" + n.replace("'", "''") + "'" for n in stats.NAMES) + "], statistic)"
+_VERDICT = f"""SELECT series_id, count(*) FILTER (WHERE survives) AS n_survivors, CASE WHEN count(*) FILTER (WHERE survives) = 0 THEN 'no signal: some null reproduces each statistic'
+  ELSE count(*) FILTER (WHERE survives) || ' of ' || count(*) || ' statistics differ from all nulls: ' || string_agg(statistic, ', ' ORDER BY {_PLACE}) FILTER (WHERE survives) END AS verdict FROM kept GROUP BY series_id"""
+
+
+@query("verdicts_by_segment", _worlds_sql(SEGMENTS) + f", {_KEPT} {_VERDICT}")
+def _(spark, sf_dir):
+    return compare.verdicts(_worlds(segments(spark, sf_dir)))
+
+
+@query("series_by_survivors", _worlds_sql(SEGMENTS) + f", {_KEPT} SELECT series_id, count(*) FILTER (WHERE survives) AS n_survivors FROM kept GROUP BY series_id ORDER BY n_survivors DESC, series_id LIMIT 3")
+def _(spark, sf_dir):
+    """The series with the most surviving statistics."""
+    return compare.verdicts(_worlds(segments(spark, sf_dir))).select("series_id", "n_survivors").orderBy(F.desc("n_survivors"), "series_id").limit(3)
+
+
+@query("comparison_own_statistics", None)
 def _(spark, sf_dir):
-    return compare.verdicts(compare.compare(segments(spark, sf_dir), 100, seed=42))
+    """Own statistics and an own null: the sign-flipped series."""
+    own = {"Largest drop": lambda r: r.min(), "Mean absolute return": lambda r: abs(r).mean()}
+    flip = {"sign": lambda r, n, rng: r * rng.choice([-1.0, 1.0], size=(n, len(r)))}
+    return compare.compare(segments(spark, sf_dir), 200, seed=42, statistics=own, generators=flip, mean_block=10)
 
 
 # -- GARCH
@@ -482,7 +570,7 @@ def _(spark, sf_dir):
 
 @query("garch_simulation_moments", None)
 def _(spark, sf_dir):
-    return compare.distribution(segments(spark, sf_dir), 50, ("garch",), seed=7).groupBy("series_id", "statistic").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    return compare.distribution(segments(spark, sf_dir), compare.Setup(50, ("garch",), 7)).groupBy("series_id", "statistic").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
 # -- the screener
@@ -493,10 +581,10 @@ mom AS ({MOMENTS}),
 a1 AS (SELECT series_id, sum(d * e) / sum(d * d) AS acf_abs_lag1 FROM (SELECT series_id, abs(ret) - avg(abs(ret)) OVER (PARTITION BY series_id) AS d, lag(abs(ret)) OVER (PARTITION BY series_id ORDER BY i) - avg(abs(ret)) OVER (PARTITION BY series_id) AS e FROM ret) GROUP BY series_id),
 a2 AS (SELECT series_id, sum(d * e) / sum(d * d) AS acf_signed_lag1 FROM (SELECT series_id, ret - avg(ret) OVER (PARTITION BY series_id) AS d, lag(ret) OVER (PARTITION BY series_id ORDER BY i) - avg(ret) OVER (PARTITION BY series_id) AS e FROM ret) GROUP BY series_id),
 sb AS (SELECT series_id, avg(CAST(a = b AS DOUBLE)) AS same_band_rate FROM pairs GROUP BY series_id),
-tail AS (SELECT series_id, stddev_samp(ret) FILTER (WHERE k <= 20) * sqrt(252) AS vol_20d, stddev_samp(ret) FILTER (WHERE k <= 60) * sqrt(252) AS vol_60d, max(dt) AS last_date FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY i DESC) AS k FROM ret) GROUP BY series_id)
-SELECT series_id, n AS n_obs, ann_return, ann_vol, excess_kurtosis, sharpe, acf_abs_lag1, acf_signed_lag1, same_band_rate, vol_20d, vol_60d, last_date, round(vol_20d / vol_60d, 2) AS vol_ratio
+tail AS (SELECT series_id, stddev_samp(ret) FILTER (WHERE k <= 20) * sqrt(252) AS vol_20d, stddev_samp(ret) FILTER (WHERE k <= 60) * sqrt(252) AS vol_60d, max(dt) AS last_date, max_by(price, px_dt) AS last_close FROM (SELECT ret.*, p.dt AS px_dt, p.price, row_number() OVER (PARTITION BY ret.series_id ORDER BY i DESC) AS k FROM ret JOIN px p ON p.series_id = ret.series_id AND p.dt = ret.dt) GROUP BY series_id)
+SELECT series_id, n AS n_obs, ann_return, ann_vol, excess_kurtosis, sharpe, acf_abs_lag1, acf_signed_lag1, same_band_rate, vol_20d, vol_60d, last_date, last_close, round(vol_20d / vol_60d, 2) AS vol_ratio
 FROM enough JOIN mom USING (series_id) JOIN a1 USING (series_id) JOIN a2 USING (series_id) JOIN sb USING (series_id) JOIN tail USING (series_id)"""
-query("screener", _SCREEN, doubles="ann_return ann_vol excess_kurtosis sharpe acf_abs_lag1 acf_signed_lag1 same_band_rate vol_20d vol_60d vol_ratio")(lambda spark, sf_dir: screen.screen(segments(spark, sf_dir)))
+query("screener", _SCREEN, doubles="ann_return ann_vol excess_kurtosis sharpe acf_abs_lag1 acf_signed_lag1 same_band_rate vol_20d vol_60d vol_ratio last_close")(lambda spark, sf_dir: screen.screen(segments(spark, sf_dir), prices=segment_prices(spark, sf_dir)))
 
 
 @query("screener_top_sharpe", f"SELECT series_id, sharpe FROM (WITH {NATIONS} {MOMENTS}) ORDER BY sharpe DESC, series_id LIMIT 5", doubles="sharpe")
@@ -506,7 +594,7 @@ def _(spark, sf_dir):
 
 @query("full_screener", None)
 def _(spark, sf_dir):
-    out = screen.full_screen(segments(spark, sf_dir), 40)
+    out = screen.full_screen(segments(spark, sf_dir), 300, prices=segment_prices(spark, sf_dir))
     return out.withColumn("statistics", F.to_json("statistics")).withColumn("garch", F.to_json("garch")).withColumn("survives_all_nulls", F.array_join("survives_all_nulls", "; "))
 
 

@@ -38,8 +38,13 @@ def returns(prices: DataFrame, log: bool = True, bridge: bool = False) -> DataFr
     source = prices.where(F.col("price") > 0) if bridge else prices
     before = F.lag("price").over(by)
     change = F.when((before > 0) & (F.col("price") > 0), F.ln(F.col("price") / before)) if log else F.when(before != 0, F.col("price") / before - 1)
-    out = source.select("series_id", "dt", finite(change).alias("ret")).where(F.col("ret").isNotNull())
-    return out.withColumn("i", F.row_number().over(by).cast("long")).select("series_id", "i", "dt", "ret")
+    return numbered(source.select("series_id", "dt", finite(change).alias("ret")).where(F.col("ret").isNotNull()))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (series_id, dt, ret) with i, their number in date order."""
+    by = Window.partitionBy("series_id").orderBy("dt")
+    return rows.withColumn("i", F.row_number().over(by).cast("long")).select("series_id", "i", "dt", "ret")
 
 
 def with_enough(series: DataFrame, least: int) -> DataFrame:

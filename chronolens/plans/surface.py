@@ -36,6 +36,7 @@ _register("sql_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SEL
 _register("sql_cross_join", "SELECT r_name, e.event_type FROM region CROSS JOIN (SELECT DISTINCT event_type FROM events) e")
 _register("sql_theta_join", "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 _register("sql_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+_register("sql_approximate_distinct", "SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.15 * count(DISTINCT user_id) AS near FROM events GROUP BY event_type")
 _register("sql_distinct_aggregates", "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY event_type")
 _G = "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n, CAST(grouping(l_returnflag) AS INTEGER) AS g1, CAST(grouping(l_linestatus) AS INTEGER) AS g2 FROM lineitem GROUP BY "
 _register("sql_rollup", _G + "ROLLUP (l_returnflag, l_linestatus)")

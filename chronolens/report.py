@@ -6,7 +6,13 @@ from datetime import UTC, datetime
 from html import escape
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronolens.functions import stats
+from chronolens.operators import budget, compare
+from chronolens.operators.registry import Ledger
+from chronolens.operators.surrogates import NULLS
 
 MAX_ROWS = 2_000  # a report shows this many rows of a table and says how many there are
 
@@ -43,8 +49,47 @@ def write(tabs: dict[str, DataFrame], path: str | Path, title: str = "Report") -
     return path
 
 
-def comparison_text(panel: DataFrame) -> str:
-    """A panel as fixed-width text."""
-    rows = [panel.columns, *([_cell(x) for x in r] for r in panel.collect())]
-    widths = [max(len(str(r[i])) for r in rows) for i in range(len(panel.columns))]
-    return "\n".join("  ".join(str(x).ljust(w) if not i else str(x).rjust(w) for i, (x, w) in enumerate(zip(r, widths, strict=True))) for r in rows)
+def fixed_width(head: list[str], rows: list[list]) -> str:
+    """Rows as fixed-width text: the first column to the left, others to the right."""
+    cells = [head, *([_plain(x) for x in r] for r in rows)]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(head))]
+    lines = ["  ".join(x.ljust(w) if not i else x.rjust(w) for i, (x, w) in enumerate(zip(r, widths, strict=True))) for r in cells]
+    return "\n".join([lines[0], "-" * len(lines[0]), *lines[1:]])
+
+
+def _plain(x) -> str:
+    return "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x)
+
+
+def comparison_text(results: DataFrame, nulls: tuple[str, ...] = NULLS, alpha: float = 0.05) -> str:
+    """The comparison of one series: each statistic's real value, its mean in each null, and whether it survives or which null is hardest."""
+    kept = compare.survivors(results, alpha).select("series_id", "statistic", "survives", "hardest_null")
+    rows = compare.panel(results, nulls, alpha).join(kept, ["series_id", "statistic"]).collect()  # a row of each statistic
+    return fixed_width(["statistic", "real", *nulls, "verdict"], [[r["statistic"], r["real"], *(r[f"{n}_mean"] for n in nulls), "survives" if r["survives"] else f"like {r['hardest_null']}"] for r in _in_order(rows)])
+
+
+def p_value_text(results: DataFrame, nulls: tuple[str, ...] = NULLS) -> str:
+    rows = compare.panel(results, nulls).collect()
+    return fixed_width(["statistic", *(f"p {n}" for n in nulls)], [[r["statistic"], *(r[f"{n}_p"] for n in nulls)] for r in _in_order(rows)])
+
+
+def _in_order(rows: list) -> list:
+    place = {n: i for i, n in enumerate(stats.NAMES)}
+    return sorted(rows, key=lambda r: (place.get(r["statistic"], len(place)), r["statistic"]))
+
+
+def ledger_text(ledger: Ledger, spark: SparkSession) -> str:
+    """How many trials are used, the bar of the next one, and each agent's trials."""
+    trials = ledger.frame(spark)
+    agents = budget.by_agent(trials).orderBy("agent").collect()
+    numbered = trials.select("sharpe", "n_obs", F.col("trial_id").alias("trial_order"))
+    bar = budget.with_bar(budget.sharpe_variance(numbered).withColumn("n_trials", F.col("n") + 1)).first()
+    head = f"trials used: {bar['n']}\nbar of trial {bar['n'] + 1}: annualised Sharpe {bar['bar'] * budget.PERIODS**0.5:.2f}"
+    return "\n".join([head, *(f"  {a['agent']}: {a['trials']} trials, {a['passed']} passed" for a in agents)])
+
+
+def screener_text(rows: DataFrame) -> str:
+    """Rows of full_screen, best Sharpe ratio first."""
+    own = rows.orderBy(F.desc_nulls_last("sharpe"), "series_id").collect()
+    head = ["symbol", "days", "return %", "vol %", "sharpe", "kurtosis", "persistence", "vol ratio", "verdict"]
+    return fixed_width(head, [[r["series_id"], r["n_obs"], r["ann_return"] * 100, r["ann_vol"] * 100, r["sharpe"], r["excess_kurtosis"], r["garch"]["persistence"] if r["garch"] else None, r["vol_ratio"], "signal" if r["survives_all_nulls"] else "no signal"] for r in own])

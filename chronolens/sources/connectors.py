@@ -21,7 +21,7 @@ from chronolens.plans.series import MIN_ROWS, normalised
 from chronolens.sources.lake import Lake
 
 # Symbols screened when no list is given.
-DEFAULT_WATCHLIST = "AAPL MSFT GOOGL AMZN NVDA META TSLA JPM V JNJ WMT PG XOM UNH HD KO PEP DIS NFLX".split()
+DEFAULT_WATCHLIST = "AAPL MSFT NVDA GOOG AMZN META TSLA JPM V UNH XOM LLY AVGO COST SPY QQQ IWM GLD TLT".split()
 
 
 def fetch(url: str, landing: str | Path, headers: dict | None = None, ttl_hours: float = 24, rate_limit_s: float = 0.15) -> Path:
@@ -56,6 +56,11 @@ def daily_bars(spark: SparkSession, path: str, symbol: str, formats: tuple[str,
     return _stamped(bars, F.col("date"))
 
 
+def index_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Daily bars of the index, from a supplied file."""
+    return daily_bars(spark, path, "^GSPC")
+
+
 def volatility_index(spark: SparkSession, path: str) -> DataFrame:
     """Like daily_bars, without rows that have any null."""
     return daily_bars(spark, path, "^VIX").na.drop("any")

@@ -20,7 +20,12 @@ MANIFEST_SCHEMA = "dataset string, hash string, rows long, columns array<string>
 
 
 def content_digest(df: DataFrame) -> str:
-    """Sixteen hex digits of a frame's content: of rows in any order, of columns in any order, without volatile columns.
+    """Sixteen hex digits of a frame's content; see counted_digest."""
+    return counted_digest(df)[0]
+
+
+def counted_digest(df: DataFrame) -> tuple[str, int]:
+    """Sixteen hex digits of a frame's content, and its rows: of rows in any order, of columns in any order, without volatile columns.
 
     Each row's sha256 is cut into four 60-bit numbers, and the sums and count of
     rows are hashed with the schema: one aggregation, however many rows.
@@ -32,7 +37,7 @@ def content_digest(df: DataFrame) -> str:
     text = json.dumps([[[c, types[c]] for c in names], [str(x) for x in sums]])
     import hashlib
 
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    return hashlib.sha256(text.encode()).hexdigest()[:16], sums["n"]
 
 
 class Lake:
@@ -54,24 +59,32 @@ class Lake:
     def _entry(self, layer: str, dataset: str) -> str:
         return f"{self.root}/_manifest/{layer}.{dataset}.json"
 
-    def _record(self, layer: str, dataset: str, source: str, note: str, fresh: dict[str, str]) -> str:
+    def _record(self, layer: str, dataset: str, source: str, note: str, key: str, fresh: DataFrame, known: dict) -> str:
+        """Enters one written partition; what the entry knows of the others is kept, so they aren't read."""
         import hashlib
 
-        known = self.manifest_entry(layer, dataset) or {}
-        hashes = {**dict(zip(known.get("partitions", []), known.get("partition_hashes", []), strict=True)), **fresh}
-        frame = self.read(layer, dataset)
+        digest, n = counted_digest(fresh)
+        hashes = {**dict(zip(known.get("partitions", []), known.get("partition_hashes", []), strict=True)), key: digest}
+        rows = {**dict(zip(known.get("partitions", []), known.get("partition_rows", []), strict=False)), key: n}
+        columns = list(dict.fromkeys([*known.get("columns", []), *(c for c in fresh.columns if c != PARTITION)]))
         keys = sorted(hashes)
         whole = hashes[keys[0]] if len(keys) == 1 else hashlib.sha256("".join(hashes[k] for k in keys).encode()).hexdigest()[:16]
         size = self._fs.getContentSummary(self._path(self.path(layer, dataset))).getLength()
-        entry = {"dataset": f"{layer}/{dataset}", "hash": whole, "rows": frame.count(), "columns": frame.columns, "written_at": datetime.now(UTC).isoformat(), "source": source, "note": note, "bytes": size, "partitions": keys, "partition_hashes": [hashes[k] for k in keys]}
-        path, fresh_path = self._path(self._entry(layer, dataset)), self._path(self._entry(layer, dataset) + ".new")
-        stream = self._fs.create(fresh_path, True)
-        stream.write(json.dumps(entry).encode())
-        stream.close()
-        self._fs.delete(path, False)
-        self._fs.rename(fresh_path, path)
+        entry = {"dataset": f"{layer}/{dataset}", "hash": whole, "rows": sum(rows[k] for k in keys), "columns": columns, "written_at": datetime.now(UTC).isoformat(), "source": source, "note": note, "bytes": size, "partitions": keys, "partition_hashes": [hashes[k] for k in keys], "partition_rows": [rows[k] for k in keys]}
+        self.put(self._entry(layer, dataset), json.dumps(entry))
         return whole
 
+    def put(self, path: str, text: str) -> None:
+        """Writes a small file whole: readers see the old text or the new one."""
+        jvm = self.spark._jvm
+        target, fresh = self._path(path), self._path(path + ".new")
+        stream = self._fs.create(fresh, True)
+        stream.write(text.encode())
+        stream.close()
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, target, options)
+
     def manifest_entry(self, layer: str, dataset: str) -> dict | None:
         path = self._entry(layer, dataset)
         if not self._fs.exists(self._path(path)):
@@ -90,15 +103,14 @@ class Lake:
         """Replaces the dataset; returns its digest."""
         path = self.path(layer, dataset)
         df.withColumn(PARTITION, F.lit("all")).write.mode("overwrite").option("compression", "zstd").partitionBy(PARTITION).parquet(path)
-        self._fs.delete(self._path(self._entry(layer, dataset)), False)
-        return self._record(layer, dataset, source, note, {"all": content_digest(self.read(layer, dataset))})
+        return self._record(layer, dataset, source, note, "all", self.read(layer, dataset), {})
 
     def append(self, layer: str, dataset: str, df: DataFrame, partition: str | None = None, source: str = "", note: str = "") -> str:
         """Writes one partition (today's, if none is named); the same partition is replaced, older ones are neither read nor touched."""
         key = partition or datetime.now(UTC).strftime("%Y-%m-%d")
         path = f"{self.path(layer, dataset)}/{PARTITION}={key}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self._record(layer, dataset, source, note, {key: content_digest(self.spark.read.parquet(path))})
+        return self._record(layer, dataset, source, note, key, self.spark.read.parquet(path), self.manifest_entry(layer, dataset) or {})
 
     # -- reading
     def read(self, layer: str, dataset: str) -> DataFrame:
@@ -133,6 +145,10 @@ class Lake:
                 made.append(view)
         return made
 
+    def keys(self) -> list[str]:
+        """Names (layer/dataset) of the manifest, in order."""
+        return [r[0] for r in self.summary().select("dataset").collect()]
+
     def query(self, sql: str) -> DataFrame:
         self.register_views()
         return self.spark.sql(sql)
