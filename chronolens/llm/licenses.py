@@ -4,7 +4,7 @@ Words that licenses use are triggers.  Around each, the words that a template
 could reach are compressed alone and with the template as a raw zstandard
 dictionary; where enough is saved, the exact wording confirms: the template's
 words must be there, in order, up to a small difference that leaves alone the
-words that tell versions apart.  Windows are counted
+words that tell versions apart; the words that differ are reported.  Windows are counted
 in words, so neither line breaks nor white space nor a text's length matter.
 """
 
@@ -87,19 +87,21 @@ class Scanner:
                 found.append((saving, name, near))
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
-    def difference(self, name: str, words: list[bytes]) -> float:
-        """Share of the template's words that the words don't have in their order."""
+    def difference(self, name: str, words: list[bytes]) -> tuple[float, list[bytes], list[bytes]]:
+        """Share of the template's words that the words don't have in their order; those words; and the words that stand among the others instead."""
         want = self.templates[name]
         match = difflib.SequenceMatcher(None, want, words, autojunk=False)
         # near one another: the matching blocks inside the densest stretch
         blocks = [b for b in match.get_matching_blocks() if b.size]
-        best = 0
+        best, size = [], 0
         for i, first in enumerate(blocks):
             reach = first.b + REACH * len(want)
             kept = [b for b in blocks[i:] if b.b + b.size <= reach]
-            if self.told(name, kept):
-                best = max(best, sum(b.size for b in kept))
-        return 1 - best / len(want)
+            if self.told(name, kept) and sum(b.size for b in kept) > size:
+                best, size = kept, sum(b.size for b in kept)
+        have, used = {b.a + j for b in best for j in range(b.size)}, {b.b + j for b in best for j in range(b.size)}
+        added = [words[j] for j in range(best[0].b, best[-1].b + best[-1].size) if j not in used] if best else []
+        return 1 - size / len(want), [w for i, w in enumerate(want) if i not in have], added
 
     def told(self, name: str, blocks: list) -> bool:
         """Whether the words that tell versions apart are matched, no further behind the match before them than in the template."""
@@ -110,22 +112,22 @@ class Scanner:
                 return False
         return True
 
-    def least_difference(self, name: str, words: list[bytes]) -> float:
+    def least_difference(self, name: str, words: list[bytes]) -> tuple[float, list[bytes], list[bytes]]:
         """The difference; where it is too large, the least one of single stretches, lest a like wording beside it hides a license."""
         gap, n = self.difference(name, words), len(self.templates[name])
-        if gap > MAX_DIFFERENCE:
+        if gap[0] > MAX_DIFFERENCE:
             gap = min([gap, *(self.difference(name, words[a : a + REACH * n]) for a in range(0, max(1, len(words) - n + 1), max(1, n // 4)))])
         return gap
 
-    def scan(self, text: bytes) -> list[tuple[str, float, float]]:
-        """(license, saving, difference) of the licenses that the text states."""
-        found: dict[str, tuple[float, float]] = {}
+    def scan(self, text: bytes) -> list[tuple[str, float, float, str, str]]:
+        """(license, saving, difference, missing words, added words) of the licenses that the text states, each where it differs least (then saves most, then first)."""
+        found: dict[str, tuple] = {}
         for words, at in self.windows(text):
             for saving, name, near in self.rank(words, at):
-                gap = self.least_difference(name, near)
+                gap, missing, added = self.least_difference(name, near)
                 old = found.get(name, (0, 2))
                 if gap <= MAX_DIFFERENCE and (gap, -saving) < (old[1], -old[0]):
-                    found[name] = (saving, gap)
+                    found[name] = (saving, gap, b" ".join(missing).decode(), b" ".join(added).decode())
         return [(name, *x) for name, x in sorted(found.items())]
 
 
@@ -133,26 +135,30 @@ def _scan(templates: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in batches:
-            names, savings, gaps, counts = [], [], [], []
+            columns: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 hits = scanner.scan(text) if text and TRIGGER.search(text) else []
-                names.append([x[0] for x in hits])
-                savings.append([round(x[1], 6) for x in hits])
-                gaps.append([round(x[2], 6) for x in hits])
-                counts.append(len(hits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(savings, pa.list_(pa.float64())), pa.array(gaps, pa.list_(pa.float64()))], names=["id", "n_licenses", "licenses", "savings", "differences"])
+                columns[0].append(len(hits))
+                for i in range(5):
+                    columns[i + 1].append([round(x[i], 6) if i in (1, 2) else x[i] for x in hits])
+            texts, numbers = pa.list_(pa.string()), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), texts, numbers, numbers, texts, texts), strict=True))], names=["id", "n_licenses", "licenses", "savings", "differences", "missing", "added"])
 
     return run
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row for each row of docs: id, n_licenses, licenses (names in order), savings, differences.
-
-    Texts without a license word go to Python as null (the test is made in the
-    JVM).  Null and empty texts have no licenses; rows that repeat are
-    reported as often; no rows give no rows.  Nothing is shuffled.
+    """One row for each row of docs: id, n_licenses, licenses (names in order), savings, differences, missing, added.
+
+    missing: the template's words that the text lacks there; added: the words
+    that stand among the matched ones instead, each with spaces between.  Of
+    several places for one license, the one that differs least counts.  Texts
+    without a license word go to Python as null (the test is made in the JVM).
+    Null and empty texts have no licenses; rows that repeat are reported as
+    often; other columns, of any name, are not read; no rows give no rows.
+    Nothing is shuffled.
     """
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.when(text.rlike(TRIGGER_SQL), text).alias("text"))
-    out = source.mapInArrow(_scan(templates), "id long, n_licenses long, licenses array<string>, savings array<double>, differences array<double>")
+    text = F.col(f"`{text_col}`").cast("string")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(text.rlike(TRIGGER_SQL), text).alias("text"))
+    out = source.mapInArrow(_scan(templates), "id long, n_licenses long, licenses array<string>, savings array<double>, differences array<double>, missing array<string>, added array<string>")
     return out.withColumnRenamed("id", id_col)

@@ -263,6 +263,50 @@ def test_license_versions():
     assert scan(mpl.replace("v. 2.0", "version 2.0")) == {"MPL-2.0"} and scan(mpl.replace("v. 2.0", "v. 1.1")) == set()
 
 
+def subsequence(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_licenses_against_every_window_of_words():
+    """Planted wordings, some with words left out or put in, among noise: the scan without triggers, compression or difflib finds the same."""
+    rng = random.Random(3)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    noise = "lorem ipsum dolor sit amet of and with software licenses free a to any".split()
+    for k in range(40):
+        planted, text = set(), [rng.choice(noise) for _ in range(rng.randrange(5, 60))]
+        for name in rng.sample(sorted(licenses.TEMPLATES), rng.randrange(3)):
+            words = licenses.TEMPLATES[name].split()
+            keep = [i for i in range(len(words)) if not licenses.TELLING.search(words[i].strip('.,;()"').lower().encode())]
+            drop = set(rng.sample(keep, min(len(keep), len(words) // 25 if k % 2 else len(words) // 3)))
+            text += [w for i, w in enumerate(words) if i not in drop] + [rng.choice(noise) for _ in range(60)]
+            planted |= {name}
+        found = licenses.words_of(" ".join(text).encode())
+        want = set()
+        for name, template in scanner.templates.items():
+            n = len(template)
+            told = [template[i] for i in scanner.telling[name]]
+            for a in range(max(1, len(found) - n + 1)):
+                part = found[a : a + n + 2]
+                if subsequence(template, part) >= 0.9 * n - 1e-9 and subsequence(told, part) == len(told):
+                    want.add(name)
+                    break
+        got = {x[0] for x in scanner.scan(" ".join(text).encode())}
+        assert got == want and want <= planted | {n for n in licenses.TEMPLATES if "short" in n}, (got, want, planted)
+
+
+def test_licenses_report_the_words_that_differ():
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    text = "x " + licenses.TEMPLATES["ISC"].replace("hereby granted", "now granted") + " y"
+    assert [(x[0], x[3], x[4]) for x in scan(text.encode())] == [("ISC", "hereby", "now")]
+    assert [x[2:] for x in scan(licenses.TEMPLATES["Unlicense"].encode())] == [(0.0, "", "")]
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></ul></nav>
 <div class="ad">Buy!</div><article><h1>%s</h1><p>One &amp; <b>two</b>\n three<br>four<p>Five<ul><li>six<li>seven</ul><div class="share">Tweet</div><p>Follow us</p></article>
 <aside>side</aside><div id="comments"><p>first!</p></div><form><p>mail</p></form><script>var a="<p>no</p>";</script><footer>&copy; us</footer></body></html>"""
