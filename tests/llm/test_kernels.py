@@ -63,17 +63,12 @@ def test_fm_index(text, patterns):
     assert got == {i: x for i, x in want.items() if x}
 
 
-class Value:
-    def __init__(self, value):
-        self.value = value
-
-
 @settings(deadline=None, max_examples=40)
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=25), max_size=4), st.lists(st.lists(st.sampled_from("abc"), max_size=8), max_size=4))
 def test_decontamination(docs, items):
     window = 4
     texts = [" ".join(d).encode() for d in docs]
-    blocks = [Value(Phrases([(str(i), " ".join(x).encode())], window)) for i, x in enumerate(items)]
+    blocks = [Phrases.load(Phrases.of([(str(i), " ".join(x).encode())], window).dump()) for i, x in enumerate(items)]
     got = {}
     for first, last, hit, at, found in _scan(blocks, texts):
         for row in range(first, last):
@@ -107,7 +102,7 @@ def test_very_long_mixed_case_texts_are_decontaminated():
     for a in range(len(words) - window + 1):
         if tuple(lower[a : a + window]) in grams:
             hit[a : a + window] = True
-    [(_, _, got, at, _)] = list(_scan([Value(Phrases([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], window))], [text]))
+    [(_, _, got, at, _)] = list(_scan([Phrases.of([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], window)], [text]))
     assert at[1] == len(words) and hit.any() and (got == hit).all()
     assert re.findall(rb"\w+", without_spans(text, got)) == [w.encode() for w, h in zip(words, hit, strict=True) if not h]
 

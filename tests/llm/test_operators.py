@@ -214,6 +214,17 @@ def test_contamination_awkward(spark, awkward, empty):
     assert decontaminate.decontaminate(awkward, bench).count() == len(AWKWARD) - 3
 
 
+def test_contamination_in_many_rounds(spark, docs, small, awkward):
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(decontaminate.contamination(docs, bench)) == rows(decontaminate.contamination(docs, bench, block=40))
+    assert rows(decontaminate.decontaminate(docs, bench)) == rows(decontaminate.decontaminate(docs, bench, block=40))
+    short = spark.createDataFrame([(i, f"w{i} alpha") for i in range(30)] + [(99, "one two")], "item_id long, text string")
+    clash = awkward.withColumnsRenamed({"sig": "key", "n": "starts"})
+    assert rows(decontaminate.contamination(clash, short)) == rows(decontaminate.contamination(clash, short, block=2))
+    assert decontaminate.decontaminate(clash, short, block=2).columns == clash.columns
+
+
 def test_lm_scores(docs, rows):
     got = {r["doc_id"]: r for r in lm_score.score(docs).collect()}
     of = lambda i: zlib.crc32(str(i).encode()) % 5
