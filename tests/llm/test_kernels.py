@@ -113,6 +113,24 @@ def test_size_bands_are_neighbours():
     assert all(of(4 * n // 3) - of(n) <= 1 for n in range(1, 2000))
 
 
+def test_block_keys_meet_at_every_pair_of_sizes():
+    """At the largest difference that still links, for all sizes n <= m up to 70 and any share of hot shingles, some block key is common."""
+    rng = np.random.default_rng(12)
+    for hot_share in (0.0, 0.5, 0.8):
+        for n in range(1, 71):
+            for m in range(n, min(70, 4 * n // 3) + 1):
+                common = -(-75 * (n + m) // 175)  # the least that links: 100 c >= 75 (n + m - c)
+                if common > n:
+                    continue
+                for _ in range(6 if n > 12 else 20):
+                    pool = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                    p, q = np.sort(pool[:n]), np.sort(pool[n - common :])
+                    hot = np.sort(pool[rng.random(len(pool)) < hot_share])
+                    assert linked(p, q)
+                    sketcher = Sketcher(hot)
+                    assert np.intersect1d(sketcher.keys(p), sketcher.keys(q)).size, (n, m, hot_share)
+
+
 def test_block_keys_meet_for_every_linked_pair():
     """Whatever is hot, and however small the sets are."""
     rng = random.Random(4)

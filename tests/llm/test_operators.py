@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronolens.llm import chat, decontaminate, html_extract, licenses, line_dedup, lm_score, ngram_join, packing, quality, url_filter
 
@@ -169,6 +170,85 @@ def test_quality(awkward, empty, docs):
     assert 0.5 < sum(judged.values()) / len(judged) < 1
 
 
+def brute_quality(rows):
+    """Whether each (text, lang) is kept, with words, windows, classes and distances in plain Python."""
+    import unicodedata
+
+    spaces = " \t\n\x0b\x0c\r"
+
+    def kind(c):
+        if c in "#*$%&|<>":
+            return 3
+        if c.isascii():
+            return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 4
+        return {"L": 5, "M": 5, "N": 2}.get(unicodedata.category(c)[0], 4)
+
+    def split(text):
+        return [w for w in re.split("[ \\t-\\r]+", text) if w]
+
+    def histogram(words, lang):
+        common = quality.COMMON_WORDS[lang].split()
+        out = [0] * (len(common) + 1)
+        for w in words:
+            slot = next((i for i, x in reversed(list(enumerate(common))) if w in (x, x.title(), x.upper())), len(common))
+            out[slot] += 1
+        return out
+
+    def distance(p, q):
+        p, q = [x / max(sum(p), 1) for x in p], [x / sum(q) for x in q]
+        part = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x)
+        return math.sqrt(max(0, (part(p, q) + part(q, p)) / 2))
+
+    made = []
+    for text, lang in rows:
+        words = split(text)
+        chars = [0] * 6
+        for c in text:
+            if c not in spaces:
+                chars[kind(c)] += 1
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        inside = {i + j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(3)}
+        made.append((words, chars, histogram(words, lang) if lang in quality.COMMON_WORDS else None, len(inside), lang))
+
+    def summed(part):
+        chars, common = {}, {}
+        for _, c, w, _, lang in part:
+            chars[lang] = [x + y for x, y in zip(chars.get(lang, [0] * 6), c, strict=True)]
+            if w:
+                common[lang] = [x + y for x, y in zip(common.get(lang, [0] * len(w)), w, strict=True)]
+        return ({k: v for k, v in x.items() if sum(v) >= quality.MIN_REFERENCE} for x in (chars, common))
+
+    first, _ = summed(made)
+    near = [m for m in made if not (m[4] in first and sum(m[1]) >= quality.MIN_CHARS and distance(m[1], first[m[4]]) > quality.TRIM)]
+    chars, common = summed(near)
+    out = []
+    for words, c, w, inside, lang in made:
+        failed = len(words) < 50 or 100 * inside > 50 * len(words)
+        far = lang in chars and sum(c) >= quality.MIN_CHARS and distance(c, chars[lang]) > quality.CHAR_DISTANCE[0] + quality.CHAR_DISTANCE[1] / math.sqrt(sum(c))
+        strange = w is not None and lang in common and len(words) >= quality.MIN_WORDS and distance(w, common[lang]) > quality.WORD_DISTANCE[0] + quality.WORD_DISTANCE[1] / math.sqrt(len(words))
+        out.append(not failed and not far and not strange)
+    return out
+
+
+def test_quality_verdicts_against_brute_force(docs):
+    whole = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    want = brute_quality([(t, lang) for _, t, lang in whole])
+    assert got == {i: k for (i, _, _), k in zip(whole, want, strict=True)} and 0 < sum(want) < len(want)
+
+
+def test_quality_with_more_languages_than_fit_a_broadcast_by_hand(spark):
+    """Thousands of languages, each judged by its own reference, whatever the partitioning."""
+    rows = [(k * 10 + j, ("abcd efgh " if j else "abcd efg1 ") * 600, f"x{k}") for k in range(1_300) for j in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.judge(table.repartition(6)).agg(F.count(F.when(F.col("char_distance").isNotNull(), 1)), F.count(F.lit(1))).first()
+    assert tuple(out) == (5_200, 5_200)
+
+
+def test_curly_quotes_are_punctuation():
+    assert quality.class_counts("a\u201cB\u2014\u00e9 \u0663#\n".encode()).tolist() == [1, 1, 1, 1, 2, 1]
+
+
 def test_quality_separates_labelled_documents(spark):
     path = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
@@ -388,6 +468,55 @@ def test_tool_calls(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def brute_depths(calls, links):
+    """Depth by trying every order of chains: the longest one that ends, None where one doesn't."""
+    needs = defaultdict(set)
+    for c, n in links:
+        needs[c].add(n)
+
+    def deep(c, above):
+        if c in above:
+            return math.inf
+        return max((1 + deep(n, above | {c}) for n in needs[c]), default=0)
+
+    return [None if (d := deep(c, frozenset())) == math.inf else d for c in calls]
+
+
+def test_tool_call_depths_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for conv in range(25):
+        names = [f"c{i}" for i in range(rng.randrange(1, 8))]
+        links = {(a, rng.choice(names)) for a in names for _ in range(rng.randrange(3))}
+        links = [(a, b) for a, b in links if conv % 3 == 0 or a > b]
+        for turn, a in enumerate(names):
+            rows.append((conv, turn, "assistant", json.dumps({"tool_call": {"id": a, "name": "none", "arguments": {}, "after": [b for x, b in links if x == a]}})))
+        want |= {(conv, c): d for c, d in zip(names, brute_depths(names, links), strict=True)}
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for limit in (chat.GROUP_LINKS, 2):  # in one task, and in rounds
+        assert {(r["conv_id"], r["call_id"]): r["depth"] for r in chat.linked_calls(table, group_links=limit).collect()} == want
+    chain = [(0, i, "assistant", json.dumps({"tool_call": {"id": f"c{i}", "name": "none", "after": [f"c{i - 1}"]}})) for i in range(3_000)]
+    depths = [r["depth"] for r in chat.linked_calls(spark.createDataFrame(chain, "conv_id long, turn long, role string, text string")).collect()]
+    assert sorted(depths) == list(range(3_000))
+
+
+def test_hostile_messages(spark):
+    deep = '{"tool_call":' * 30_000
+    call = lambda arguments: json.dumps({"tool_call": {"id": "a", "name": "search", "arguments": arguments}})
+    nested = '{"tool_call": {"id": "n", "name": "search", "arguments": ' + '{"a":' * 800 + '"$a"' + "}" * 800 + "}}"
+    texts = [deep, call("[" * 1_000_000), nested, '{"tool_call": {"id": "\\ud800", "name": "\\udfff", "arguments": {"query": "$\\ud800"}}}', call({"query": "x" * 2_000_000}), '{"tool_call": {"id": 1e999, "name": null}}', '{"tool_call": {"id": ' + "9" * 5_000 + "}}"]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(texts)] + [(1, 0, "user", '{"tool_result": {"id": "a"}}'), (1, 0, "user", "plain"), (None, 0, "user", texts[3])]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"mark": F.lit(1), "n_calls": F.lit("x")})
+    out = chat.format_chats(table).collect()
+    assert len(out) == len(rows) and all(json.loads(r["message"]) is not None for r in out if len(r["message"]) < 3_000)
+    at_zero = sorted((r["n_calls"], r["n_results"]) for r in out if r["turn"] == 0 and r["conv_id"] == 1)
+    assert at_zero == [(0, 0), (0, 0), (0, 1)]
+    nested_row = next(r for r in out if r["turn"] == 2)
+    assert nested_row["n_calls"] == 1 and nested_row["call_order"] == ["n"]
+
+
 def test_url_filter(spark):
     entries = [("Bad.example", "l", "add", "2024-01-10"), ("bad.example", "l", "remove", "2024-01-20"), ("bad.example", "l", "add", "2024-01-20"), ("bad.example", "l", "remove", "2024-02-01"), ("a.bad.example", "m", "add", "2024-01-15"), (None, "l", "add", "2024-01-01"), ("x", "l", "what", "2024-01-01")]
     urls = [("http://A.bad.example:80/p", "2024-01-16"), ("//u@www.bad.example/", "2024-01-09"), ("https://bad.example./", "2024-01-31"), ("https://bad.example/", "2024-02-01"), ("notbad.example", "2024-01-16"), ("http://notbad.example/", "2024-01-16"), (None, "2024-01-16"), ("http://bad.example", None)]
@@ -399,7 +528,57 @@ def test_url_filter(spark):
     assert url_filter.judge_captures(table.limit(0), listed).count() == 0
 
 
-def test_pipeline(spark, small):
+def test_captures_with_any_columns(spark):
+    table = spark.createDataFrame([(1, "http://bad.example/" + "x" * 1_000_000, "2024-01-16", 1, "a", "b"), (1, "http://bad.example/", "2024-01-16", 1, "a", "b"), (1, "http://bad.example/", "2024-01-16", 1, "a", "b"), (2, "http://" + "a." * 5_000 + "bad.example/", "2024-01-16", None, None, None)], "i int, url string, fetched string, day int, domain string, `row.c0` string")
+    listed = spark.createDataFrame([("bad.example", "l", "add", "2024-01-10")], "domain string, list_name string, action string, dated string")
+    out = url_filter.judge_captures(table, listed)
+    assert out.columns == [*table.columns, "host", "blocked", "matched_domain", "matched_list"] and out.where("blocked").count() == 4
+    assert out.select("day", "domain").where("day = 1").count() == 3
+
+
+def test_clashing_names_everywhere(spark):
+    clash = spark.createDataFrame(AWKWARD, SCHEMA).withColumnsRenamed({"sig": "__n_lines", "n": "__mark"}).withColumns({"id": F.lit("i"), "h": F.lit(0), "c0": F.lit(0), "key": F.lit(0), "label": F.lit(0), "__id": F.lit("x")})
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert line_dedup.dedup_lines(clash).columns == [c for c in clash.columns if c != "__n_lines"] + ["__n_lines", "__n_removed"]
+    assert ngram_join.keep_one(clash).columns == clash.columns and ngram_join.keep_one(clash).count() == 8
+    assert quality.keep_good(clash).columns == clash.columns and decontaminate.decontaminate(clash, bench).columns == clash.columns
+    for out in (quality.judge(clash), lm_score.score(clash), packing.pack(clash), licenses.scan_licenses(clash), decontaminate.contamination(clash, bench), ngram_join.near_duplicates(clash)):
+        assert out.count() >= 7
+
+
+def test_one_row_of_each_component_where_ids_clash(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    table = spark.createDataFrame([(2, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "w"), (7, b, "v"), (9, None, "n"), (9, "", "n"), (9, None, "m")], "doc_id long, text string, extra string")
+    got = sorted((r["doc_id"], r["text"] or "") for r in ngram_join.keep_one(table).collect())
+    assert got == [(2, a), (5, b), (9, ""), (9, "")]
+    one, two = (sorted(map(str, ngram_join.keep_one(table.repartition(n)).collect())) for n in (1, 5))
+    assert one == two
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_awkward_documents(spark, small, tmp_path, stage):
+    import corpus_pipeline
+
+    name, f = corpus_pipeline.STAGES[stage]
+    docs = spark.createDataFrame([r[:5] for r in AWKWARD], "doc_id long, text string, lang string, source string, n_chars long")
+    out = f(spark, docs, small)
+    out.write.parquet(str(tmp_path / name))
+    back = spark.read.parquet(str(tmp_path / name))
+    assert back.count() >= 1 if name != "quality_rules" else back.count() >= 0
+    assert name == "packing" or back.columns == docs.columns
+    empty = f(spark, docs.limit(0), small)
+    assert empty.count() == 0
+
+
+def test_long_and_repeated_texts_for_licenses(spark):
+    filler = " ".join(f"word{i}" for i in range(200_000))
+    text = filler + " Released under the MIT License. " + filler
+    rows = [(1, text), (1, text), (2, "license " * 50_000), (3, "\x00license\x00"), (None, "Released under the MIT License.")]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["licenses"]) for r in out) == [("1", ["MIT-short"]), ("1", ["MIT-short"]), ("2", []), ("3", []), ("None", ["MIT-short"])]
+
+
+def test_pipeline(spark, small, tmp_path):
     """Each stage against brute force on what the stage before it kept."""
     import corpus_pipeline
 
@@ -408,13 +587,16 @@ def test_pipeline(spark, small):
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
         out = stage(spark, docs, small)
-        out.write.mode("overwrite").parquet(f"/tmp/chronolens-test-{name}")
-        docs = spark.read.parquet(f"/tmp/chronolens-test-{name}")
+        whole = [(r["text"] or "", r["lang"]) for r in docs.select("text", "lang").collect()] if name == "quality_rules" else []
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         if name == "packing":
             assert {r["doc_id"] for r in docs.collect()} == set(before)
             break
         assert docs.columns == columns
         after = {r["doc_id"]: r["text"] for r in docs.collect()}
+        if name == "quality_rules":
+            assert set(after) == {i for i, k in zip(before, brute_quality(whole), strict=True) if k}
         if name == "line_dedup":
             assert after == {i: t for i, _, _, t in brute_lines(list(before.items())) if t.split()}
         if name == "ngram_jaccard_join":
