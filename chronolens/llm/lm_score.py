@@ -37,7 +37,7 @@ from chronolens.llm.planes import pack, unpack
 from chronolens.llm.scratch import Scratch
 from chronolens.llm.text import U, hashed_words, mix, texts_of
 
-CHUNK = 2_000_000
+CHUNK = 1_200_000
 PART_BYTES = 8 << 20  # of the input, for each part of the hash space: what a part holds doesn't grow with the input
 KEY_BITS = 56, 48  # of the hashes of single words and of pairs
 FOLDS, TEST_FOLD, TUNING_FOLD = 5, 1, 2  # of crc32(id as text)
