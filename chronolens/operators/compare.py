@@ -126,7 +126,9 @@ def distribution(series: DataFrame, setup: Setup) -> DataFrame:
     packed = own.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ret"))), lambda x: x["ret"]).alias("rets"))
     if "garch" in setup.nulls and "garch" not in (setup.generators or {}):
         packed = packed.join(garch.fit_all(own).select("series_id", "mu", "omega", "alpha", "beta"), "series_id")
-    dealt = packed.crossJoin(F.broadcast(jobs))  # a few dozen jobs, whatever the data
+    # a few dozen jobs, whatever the data; few bytes but much work, so the number of tasks is stated
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), batches * len(setup.nulls))
+    dealt = packed.crossJoin(F.broadcast(jobs)).repartition(tasks, "series_id", "null_name", "batch")
     return dealt.groupBy("series_id", "null_name", "batch").applyInArrow(_simulate(setup), VALUES)
 
 
