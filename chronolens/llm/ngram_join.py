@@ -48,7 +48,7 @@ from chronolens.llm.scratch import Scratch
 from chronolens.llm.text import U, groups, hashed_words, mix, texts_of
 
 WIDTH = 5
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_200_000
 HOT_LOCAL = 8  # a shingle is reported by a task that finds it in so many different sets
 HOT_TOTAL = 48  # and left out at level 0 when reported so often in all
 HOT_LIST = 200_000  # at most so many are left out; results don't depend on it
