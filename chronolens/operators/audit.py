@@ -90,7 +90,8 @@ def shift_test(frame: DataFrame, signal: str = "signal", metric: Callable[[str],
     bounded = lambda x: F.when(F.isnan(x) | x.isNull(), 0.0).when(F.abs(x) <= largest, x).otherwise(F.signum(x) * largest)
     product = lambda s: bounded(s * F.col("ret"))
     both = frame.select("series_id", product(F.col(signal)).alias("now"), product(late).alias("late"))
-    sums = both.groupBy("series_id").agg(metric("now").alias("base"), metric("late").alias("lagged"))
+    zero = F.lit(0.0)  # also of a metric that overflows
+    sums = both.groupBy("series_id").agg(F.nanvl(metric("now"), zero).alias("base"), F.nanvl(metric("late"), zero).alias("lagged"))
     flat = F.abs("base") < FLAT
     return sums.select("series_id", "base", "lagged", F.when(~flat, (F.col("base") - F.col("lagged")) / F.abs("base")).alias("drop"), (flat | (F.abs("base") <= implausible)).alias("passed"))
 

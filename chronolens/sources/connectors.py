@@ -73,8 +73,9 @@ def positioning(spark: SparkSession, path: str, landing: str | None = None) -> D
             name = z.namelist()[0]
             path = z.extract(name, landing or str(Path(path).parent))
     df = _csv(spark, path)
-    date = next(c for c in df.columns if "yyyy-mm-dd" in c or c.startswith("report_date") or c.startswith("as_of_date"))
-    event = F.try_to_timestamp(F.col(f"`{date}`"), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+    # a report may state its day twice: in full, and with two digits of the year
+    named = sorted((c for c in df.columns if "yyyy-mm-dd" in c or c.startswith("report_date") or c.startswith("as_of_date")), key=lambda c: ("yyyy-mm-dd" not in c, not c.startswith("report_date")))
+    event = F.coalesce(*[F.try_to_timestamp(F.col(f"`{named[0]}`"), F.lit(f)).cast("timestamp_ntz") for f in ("yyyy-MM-dd", "yyMMdd")])
     return _stamped(df, event, event + F.make_dt_interval(F.lit(FILING_LAG_DAYS["COT"]))).na.drop(subset=["event_time"])
 
 
@@ -120,12 +121,6 @@ def watchlist(spark: SparkSession, path: str | None = None) -> list[str]:
     return [r["s"] for r in rows.collect()]
 
 
-def newest_json(spark: SparkSession, folder: str, prefix: str) -> DataFrame | None:
-    """The findings file whose name is last, of those with the prefix."""
-    names = sorted(p.name for p in Path(folder).glob(f"{prefix}*.json"))
-    return spark.read.json(f"{folder}/{names[-1]}", multiLine=True) if names else None
-
-
 def collect(lake: Lake, jobs: dict[str, Callable[[], DataFrame]], layer: str = "bronze") -> dict[str, str]:
     """Runs each job and appends what it gives; one job's failure doesn't stop the others. Outcome by name: ok, empty, failed(Type)."""
     out = {}

@@ -196,6 +196,64 @@ def test_connectors(spark, tmp_path):
     assert connectors.stock_history(lambda s: vix, "X") is None
 
 
+def test_fetched_files_are_kept(tmp_path):
+    source = tmp_path / "a.csv"
+    source.write_text("one")
+    get = lambda **more: connectors.fetch(source.as_uri(), tmp_path / "landing", rate_limit_s=0, **more).read_text()
+    assert get() == "one"
+    source.write_text("two")
+    assert get() == "one" and get(ttl_hours=0) == "two"
+    with pytest.raises(OSError):
+        connectors.fetch((tmp_path / "none").as_uri(), tmp_path / "landing", rate_limit_s=0)
+
+
+def test_positioning_from_a_zip(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "cot.zip", "w") as z:
+        z.writestr("annual.txt", "Market,As_of_Date_In_Form_YYMMDD,Report_Date_as_YYYY-MM-DD\nA,240102,2024-01-02\nB,240109,2024-01-09\n")
+    with zipfile.ZipFile(tmp_path / "old.zip", "w") as z:
+        z.writestr("old.txt", "Market,As_of_Date_In_Form_YYMMDD\nA,240102\n")
+    assert str(connectors.positioning(spark, str(tmp_path / "old.zip"), str(tmp_path)).first()["event_time"]) == "2024-01-02 00:00:00"
+    rows = connectors.positioning(spark, str(tmp_path / "cot.zip"), str(tmp_path)).orderBy("event_time").collect()
+    assert [(r["market"], (r["knowable_at"] - r["event_time"]).days) for r in rows] == [("A", 3), ("B", 3)]
+
+
+def test_stamps_are_validated(spark):
+    from chronolens.operators import pit
+
+    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02' AS happened, TIMESTAMP_NTZ'2024-01-01' AS known")
+    with pytest.raises(pit.PITViolation):
+        pit.add_pit(rows, "happened", "known")
+    assert pit.add_pit(rows, "happened", "known", validate=False).count() == 1 and pit.add_pit(rows, "known", "happened").count() == 1
+
+
+def test_shift_test_bounds_infinite_products(spark):
+    own = frame(spark, [0.1, -0.2, float("inf"), float("nan"), 0.3]).withColumn("signal", F.lit(1.0))
+    out = audit.shift_test(own).first()
+    assert out["base"] is not None and np.isfinite(out["base"])
+
+
+def test_journal_joins_hypotheses_with_their_verdicts(spark):
+    own = spark.createDataFrame([("H-0001", "a", "passed", "m" * 200), ("H-0002", "a", "failed", "short"), ("H-0003", "b", "registered", "waits")], "hypothesis_id string, agent string, status string, mechanism string")
+    verdicts = spark.createDataFrame([("H-0001", "clears the bar", True)], "hypothesis_id string, reason string, passed boolean")
+    got = {r["hypothesis_id"]: r for r in registry.journal_frame(own, verdicts).collect()}
+    assert set(got) == {"H-0001", "H-0002"} and len(got["H-0001"]["mechanism"]) == 120 and got["H-0001"]["passed"] and got["H-0002"]["reason"] is None
+
+
+def test_hardest_null_is_the_one_with_the_largest_p(spark):
+    rows = [("s", "x", n, 1.0, p) for n, p in (("shuffled", 0.01), ("block", 0.4), ("stationary", 0.4), ("garch", None))]
+    got = compare.survivors(spark.createDataFrame(rows, "series_id string, statistic string, null_name string, real double, p_two_sided double")).first()
+    assert got["hardest_null"] == "block" and not got["survives"]
+
+
+def test_ledger_is_read_again(spark, tmp_path):
+    first = registry.Ledger(tmp_path / "l.json", 3)
+    first.record("H-0001", "a", frame(spark, np.random.default_rng(0).normal(size=50)))
+    again = registry.Ledger(tmp_path / "l.json", 3)
+    assert again.trials == first.trials and again.record("H-0002", "b", frame(spark, [0.1, 0.2]))["n_trials_at_test"] == 2
+
+
 def test_streaming(spark, tmp_path, small):
     from chronolens.streaming import ingest
 
