@@ -55,6 +55,7 @@ HOT_LIST = 200_000  # at most so many are left out; results don't depend on it
 REF_BITS = U((1 << 48) - 1)
 LEVELS = 3
 BLOCK_SETS, BLOCK_ITEMS = 2_048, 2_000_000  # sets, and shingles in them, of a block of a candidate cluster
+SHARED_SETS, SHARED_BLOCKS = 256, 8  # a cluster of fewer sets is still cut into up to so many blocks of so many sets, for tasks to share its pairs
 SPREAD = 1.25  # blocks for each shingle in which two sets can differ
 
 
@@ -359,10 +360,11 @@ def _among(table: pa.Table) -> pa.Table:
     return _edges(found, table.column("sig").to_pylist())
 
 
-def dealt(rows: DataFrame, group: str) -> DataFrame:
+def dealt(rows: DataFrame, group: str, shared_blocks: int = 1) -> DataFrame:
     """rows (group, ref, n, ...) with i, j, own: each group cut into blocks of bounded size, each row once for each pair of blocks that it is in."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    blocks = sizes.select(group, F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_ITEMS)).alias("blocks"))
+    shared = F.least(F.col("m") / SHARED_SETS, F.lit(float(shared_blocks)))
+    blocks = sizes.select(group, F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_ITEMS, shared)).alias("blocks"))
     own = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("ref"), "blocks"))
     zero = F.lit(0).cast("long")
     one = own.where("blocks = 1").drop("blocks").withColumns({"i": zero, "j": zero})
@@ -476,7 +478,7 @@ def _located(source: DataFrame) -> DataFrame:
         clusters = components.connected(scratch, links.select(low("a"), low("b")).unionAll(allowed)).withColumnsRenamed({"node": "ref", "label": "cluster"})
         own = classes.withColumn("ref", ref_of).join(clusters, "ref").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         spread = own.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster")
-        asked = dealt(scratch.write(own.join(spread, "cluster", "left_semi")).withColumnRenamed("id", "own_id"), "cluster")
+        asked = dealt(scratch.write(own.join(spread, "cluster", "left_semi")).withColumnRenamed("id", "own_id"), "cluster", SHARED_BLOCKS)
         texts = source.join(asked, source["id"].eqNullSafe(F.col("own_id"))).select("cluster", "i", "j", "own", "label", "sig", "text")
         links = scratch.write(links.unionAll(texts.groupBy("cluster", "i", "j").applyInArrow(_among, "a long, b long")))
         del texts, asked
