@@ -96,6 +96,18 @@ def test_near_duplicates_in_chains_and_hot_groups(spark):
     assert got == sorted(brute_components(table))
 
 
+def test_near_duplicates_in_groups_cut_into_blocks(spark, monkeypatch):
+    """Groups that share hot passages without being linked, with links and chains among them, in many small blocks."""
+    for name, value in (("SHARED_SETS", 8), ("SHARED_BLOCKS", 6), ("BLOCK_SETS", 20), ("HOT_TOTAL", 1 << 40)):
+        monkeypatch.setattr(ngram_join, name, value)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"u{k // 3}q{j}" for j in range(26 + k % 3)) for k in range(150)]  # threes that link, all with one passage
+    texts += [passage + " " + " ".join(f"c{j}" for j in range(k, k + 60)) for k in range(0, 90, 6)]  # a chain with it
+    table = [(i, t) for i, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    assert got == sorted(brute_components(table))
+
+
 def test_near_duplicates_awkward(awkward, empty):
     got = sorted((tuple(r) for r in ngram_join.near_duplicates(awkward).collect()), key=str)
     want = brute_components([(r[0], r[1] or "") for r in AWKWARD])
@@ -154,6 +166,12 @@ def test_packing(docs, rows):
         assert sorted(slots) == list(range(len(slots))) and (len(slots) == per or batch == max(b for s, b in batches if s == size))
 
 
+def test_word_count(spark):
+    texts = [None, "", " ", "\n\t\x0b\x0c\r ", "a", " a", "a ", "\ta\nb\r\n", "é ü x  y\x0b", "x" * 100_000 + " y " + " " * 100_000 + "z ", "\x00 \x1f \x85 q", "a\x1cb \x1d"]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", packing.word_count(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in out} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
 def test_packing_awkward(awkward, empty):
     out = packing.pack(awkward)
     assert {r["doc_id"] for r in out.collect()} == {4, 5, None, 7, 8, 9, 10} and out.where("doc_id = 5").count() == 2
