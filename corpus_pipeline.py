@@ -15,7 +15,7 @@ from chronolens.llm.scratch import Scratch
 
 def _recounted(docs: DataFrame) -> DataFrame:
     """Character counts after a change of texts; documents without a word go."""
-    docs = docs.where(packing.word_count(F.col("text")) > 0)
+    docs = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
