@@ -196,13 +196,39 @@ def journal_frame(hypotheses: DataFrame, verdicts: DataFrame) -> DataFrame:
     return own.join(verdicts.select("hypothesis_id", "reason", "passed"), "hypothesis_id", "left")
 
 
-def lineage(hypotheses: DataFrame, limit: int = 100) -> DataFrame:
-    """Rows (hypothesis_id, root_id, depth): a refinement's oldest ancestor; pointers double each round, so limit rounds reach 2^limit deep."""
-    at = hypotheses.select("hypothesis_id", F.coalesce("parent_id", "hypothesis_id").alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+#: Chains written from one row; bounds the arrays that ``lineage`` expands.
+CHAINS = 4096
+
+
+def lineage(hypotheses: DataFrame, limit: int = 100, generations: int | None = None) -> DataFrame:
+    """Rows (hypothesis_id, root_id, depth): a refinement's oldest ancestor; a parent that isn't in the table is none.
+
+    Pointers double each round, so limit rounds reach 2^limit deep; ids must be unique and without cycles. With
+    ``generations``, that many steps up at most: the rows of as many left joins, so a repeated id gives one for each chain.
+    """
+    if generations is not None:
+        return _chains(hypotheses, generations)
+    known = hypotheses.select(F.col("hypothesis_id").alias("parent")).distinct()
+    at = hypotheses.join(known, F.col("parent_id") == F.col("parent"), "left").select("hypothesis_id", F.coalesce("parent", "hypothesis_id").alias("root_id"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
     for _ in range(limit):
         up = at.select(F.col("hypothesis_id").alias("root_id"), F.col("root_id").alias("above"), F.col("depth").alias("more"))
         after = at.join(up, "root_id", "left").select("hypothesis_id", F.coalesce("above", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
-        if after.join(at, ["hypothesis_id", "root_id"], "left_anti").isEmpty():
+        if after.select("hypothesis_id", "root_id").subtract(at.select("hypothesis_id", "root_id")).isEmpty():
             return after
         at = after
     return at
+
+
+def _chains(hypotheses: DataFrame, generations: int) -> DataFrame:
+    """Chains are counted on the way up, as they multiply with repeated ids, and written out by all tasks at the end."""
+    own = hypotheses.groupBy("hypothesis_id", "parent_id").agg(F.count(F.lit(1)).alias("n"))
+    up = own.select(F.col("hypothesis_id").alias("above"), F.col("parent_id").alias("beyond"), F.col("n").alias("times"))
+    at = own.select("hypothesis_id", F.col("hypothesis_id").alias("root_id"), "parent_id", F.lit(0).alias("depth"), "n")
+    for _ in range(generations):
+        found = F.col("above").isNotNull().cast("int")
+        step = at.join(up, F.col("parent_id") == F.col("above"), "left").select("hypothesis_id", F.coalesce("above", "root_id").alias("root_id"), F.col("beyond").alias("parent_id"), (F.col("depth") + found).alias("depth"), (F.col("n") * F.coalesce("times", F.lit(1))).alias("n"))
+        at = step.groupBy("hypothesis_id", "root_id", "parent_id", "depth").agg(F.sum("n").alias("n"))
+    tasks = int(hypotheses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = at.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHAINS)))).repartition(tasks)
+    chains = F.sequence(F.lit(1), F.least(F.lit(CHAINS), F.col("n") - F.col("piece") * CHAINS).cast("int"))
+    return pieces.select("hypothesis_id", "root_id", "depth", F.explode(chains).alias("chain")).drop("chain")
